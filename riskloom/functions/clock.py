@@ -35,21 +35,29 @@ def parse(c: Column | str, pattern: str | None = None) -> Column:
     """
     if pattern is None:
         return _col(c).try_cast("timestamp_ntz")
-    return F.try_to_timestamp(_col(c), F.lit(pattern)).cast("timestamp_ntz")
+    readable = F.try_to_timestamp(_col(c), F.lit(pattern)).isNotNull()
+    return F.when(readable, F.to_timestamp_ntz(_col(c), F.lit(pattern)))
 
 
 def gap_us(earlier: Column | str, later: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", _col(earlier), _col(later))
 
 
+def instant_us(c: Column | str) -> Column:
+    """Microseconds since 1970, in the time's own clock."""
+    return gap_us(F.lit("1970-01-01").cast("timestamp_ntz"), c)
+
+
 def gap_days(us: Column | str) -> Column:
-    return F.floor(_col(us) / F.lit(float(DAY_US))).cast("long")
+    us = _col(us)
+    return ((us - F.pmod(us, F.lit(DAY_US))) / DAY_US).cast("long")
 
 
 def gap_seconds(us: Column | str) -> Column:
-    return F.pmod(F.floor(_col(us) / F.lit(float(SECOND_US))), F.lit(86_400)).cast("long")
+    return F.floor(F.pmod(_col(us), F.lit(DAY_US)) / SECOND_US)
 
 
 def whole_seconds(c: Column | str) -> Column:
     """The time cut down to its second."""
-    return F.date_trunc("second", _col(c)).cast("timestamp_ntz")
+    c = _col(c)
+    return F.timestamp_add("MICROSECOND", -F.pmod(instant_us(c), F.lit(SECOND_US)), c)
