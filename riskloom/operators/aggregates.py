@@ -150,6 +150,6 @@ def row_of_max(df: DataFrame, by: list[str], value: str, tie: str, columns: list
     With an empty `by` the one row of the whole table.
     """
     # Equal largest values are settled inside the aggregate: no sort, no window.
-    best = F.struct(F.col(value).alias("_v"), F.struct(*[F.col(c) for c in [tie, *columns]]).alias("_row"))
-    top = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min(best["_row"]).alias("_row"))
-    return top.groupBy(*by).agg(F.max_by("_row", value).alias("_row")).select(*by, *[f"_row.{c}" for c in columns])
+    row = F.struct(*[F.col(c) for c in dict.fromkeys([tie, *columns])])
+    top = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.min(row).alias("_row"))
+    return top.groupBy(*by).agg(F.max_by("_row", "_v").alias("_row")).select(*by, *[f"_row.{c}" for c in columns])

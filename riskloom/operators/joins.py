@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import clock
-from riskloom.operators.hotkeys import LANE, attach, hot_keys, only_hot, with_lanes
+from riskloom.operators.hotkeys import LANE, attach, only_hot, with_lanes
 
 
 def link_asof(
@@ -92,7 +92,7 @@ def join_suffixed(
 
 def present_in(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key also occurs in the other table."""
-    return attach(rows, other.select(*on).distinct(), on)
+    return attach(rows, other.select(*on).distinct(), on, "left_semi")
 
 
 def side_by_side(left: DataFrame, right: DataFrame, key: str, how: str = "full") -> DataFrame:
@@ -115,9 +115,3 @@ def coverage(pairs: dict[str, tuple[DataFrame, DataFrame]], key: str) -> DataFra
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-__all__ = [
-    "attach", "attach_login", "complete_left", "coverage", "hot_keys", "join_suffixed", "link_asof", "present_in",
-    "side_by_side", "Column",
-]

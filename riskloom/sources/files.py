@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from riskloom.functions import clock
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True) -> DataFrame:
     """CSV with a declared schema; without one the types are inferred by an extra pass."""
@@ -15,7 +17,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("header", header).csv(path)
+    """CSV with times to the microsecond."""
+    times = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+    writer = df.write.mode("overwrite").option("header", header)
+    writer.option("timestampNTZFormat", times).option("timestampFormat", times).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -25,3 +30,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 def write_submission(df: DataFrame, path: str, columns: tuple[str, ...] = ("rowkey", "is_risk")) -> None:
     """Result file: key and label only, no header line."""
     write_csv(df.select(*columns), path, header=False)
+
+
+def typed_trades(df: DataFrame) -> DataFrame:
+    """Trades with their text time, which runs on past the seconds, as a time."""
+    return df.withColumn("time", clock.parse("time"))
