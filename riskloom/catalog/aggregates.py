@@ -30,7 +30,7 @@ def _statistic(key: str, function: str, text: str):
 _statistic("a3_mean", "mean", "round(avg(timelong), 6)")
 _statistic("a4_min", "min", "min(timelong)")
 _statistic("a5_max", "max", "max(timelong)")
-_statistic("a6_variance", "var", "round(var_samp(timelong), 2)")
+_statistic("a6_variance", "var", "round(var_samp(timelong), 3)")
 _statistic("a7_deviation", "std", "round(stddev_samp(timelong), 6)")
 _statistic("a8_count", "count", "count(timelong)")
 _statistic("a9_sum", "sum", "CAST(sum(timelong) AS BIGINT)")

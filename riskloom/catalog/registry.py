@@ -40,7 +40,7 @@ PARTS = {
       SELECT id, count(*) FILTER (WHERE timelong % 10 <> 0) AS whole_sec_false,
         count(*) FILTER (WHERE timelong % 10 = 0) AS whole_sec_true, min(timelong) AS timelong_min,
         max(timelong) AS timelong_max, round(avg(timelong), 6) AS timelong_Mean,
-        round(coalesce(var_samp(timelong), 0), 2) AS timelong_var,
+        round(coalesce(var_samp(timelong), 0), 3) AS timelong_var,
         round(coalesce(stddev_samp(timelong), 0), 6) AS timelong_std
       FROM login GROUP BY id""",
     "counted": """
@@ -95,7 +95,7 @@ _SIX = ("min", "max", "std", "var", "mean", "skew")
 
 
 # Variances are large: fewer places, so that the order of summation does not show.
-_PLACES = {"timelong_var": 2, "login_diff_seconds_var": 0}
+_PLACES = {"timelong_var": 3, "login_diff_seconds_var": 1}
 
 
 def places(column: str) -> int:

@@ -40,7 +40,9 @@ def parse(c: Column | str, pattern: str | None = None) -> Column:
 
 
 def gap_us(earlier: Column | str, later: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", _col(earlier), _col(later))
+    """Gap in microseconds, on the times' own clock whatever the session's time zone."""
+    seconds = (_col(later) - _col(earlier)).cast("interval second").cast("decimal(18,6)")
+    return (seconds * SECOND_US).cast("long")
 
 
 def instant_us(c: Column | str) -> Column:

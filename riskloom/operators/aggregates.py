@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import differs, is_multiple
 from riskloom.functions.stats import BY_NAME, MEAN_ABSOLUTE_DEVIATION
-from riskloom.operators.hotkeys import with_group_values
+from riskloom.operators.hotkeys import hot_keys, with_group_values
 
 Names = str | list[str]
 
@@ -102,22 +102,27 @@ def failed_login_counts(df: DataFrame, by: str = "id", result: str = "result", s
 
 def add_failed_logins(users: DataFrame, df: DataFrame, by: str = "id") -> DataFrame:
     """Add the failed-login count; users without one go, and missing numbers become 0."""
-    return users.join(failed_login_counts(df, by), by).na.fill(0)
+    out = users.join(failed_login_counts(df, by), by)
+    return out.na.fill(0, [c for c in out.columns if c != by])
 
 
-def usage_share(df: DataFrame, column: str, by: str = "id", key: str = "log_id") -> DataFrame:
+def usage_share(
+    df: DataFrame, column: str, by: str = "id", key: str = "log_id", hot: DataFrame | None | bool = True
+) -> DataFrame:
     """Per user and value: the share of the user's rows that have this value, as `<column>_scale`.
 
-    The user's total is summed from the counts, not from the rows. Users have far fewer
-    values than rows, but a user's values have no bound either, so it is a join.
+    The user's total is summed from the counts, not from the rows. `hot` is the hot keys
+    of the rows: where no user has too many rows, none has too many values.
     """
+    if hot is True:
+        hot = hot_keys(df, [by])
     counts = (
         df.where(F.col(by).isNotNull() & F.col(column).isNotNull())
         .groupBy(by, column)
         .agg(F.count(key).alias("_n"))
     )
-    totals = counts.groupBy(by).agg(F.sum("_n").alias("_all"))
-    return counts.join(totals, by).select(by, column, (F.col("_n") / F.col("_all")).alias(f"{column}_scale"))
+    counts = with_group_values(counts, [by], {"_all": F.sum("_n")}, hot)
+    return counts.select(by, column, (F.col("_n") / F.col("_all")).alias(f"{column}_scale"))
 
 
 def usual_hour(df: DataFrame, time: str = "time", by: str = "id") -> DataFrame:

@@ -15,6 +15,8 @@ How the pieces are cut changes where rows are worked on, never the result.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ _COPIES = "_copies"
 _POINTS = "_points"
 
 
+def known(by: list[str]) -> Column:
+    """All key columns have a value."""
+    return reduce(and_, [F.col(c).isNotNull() for c in by], F.lit(True))
+
+
 def _limits(df: DataFrame) -> tuple[int, int]:
     conf = df.sparkSession.conf
     return int(conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))), int(conf.get("spark.sql.shuffle.partitions"))
@@ -102,7 +109,7 @@ def with_group_values(
     """
     if hot is True:
         hot = hot_keys(rows, by)
-    rows = rows.dropna(subset=by)
+    rows = rows.where(known(by))
     if hot is None:
         w = Window.partitionBy(*by)
         return rows.withColumns({name: agg.over(w) for name, agg in values.items()})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import clock
-from riskloom.operators.hotkeys import LANE, only_hot, with_lanes
+from riskloom.operators.hotkeys import LANE, known, only_hot, with_lanes
 
 _PREVIOUS = "_previous"
 _CARRY = "_carry"
@@ -23,7 +23,7 @@ def with_previous(
     NULL on a key's first row. Rows without a key are left out. Hot keys are worked on
     lane by lane, and a lane's first row takes the last row of the lane before.
     """
-    rows = rows.dropna(subset=by) if by else rows
+    rows = rows.where(known(by))
     laned, points = with_lanes(rows, by, order, hot)
     if points is None:
         w = Window.partitionBy(*by).orderBy(*order)
@@ -103,7 +103,7 @@ def running_total(
     hot: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Add sums over the rows so far: `columns` maps each new name to the column summed."""
-    rows = rows.dropna(subset=by) if by else rows
+    rows = rows.where(known(by))
     laned, points = with_lanes(rows, by, order, hot)
 
     def so_far(keys: list[str]):

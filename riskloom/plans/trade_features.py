@@ -54,13 +54,18 @@ def with_gap_statistics(trades: DataFrame, hot: DataFrame | None | bool = True)
 
 
 def with_usage_share(
-    trades: DataFrame, logins: DataFrame, column: str, hot: DataFrame | None | bool = True
+    trades: DataFrame,
+    logins: DataFrame,
+    column: str,
+    hot: DataFrame | None | bool = True,
+    hot_logins: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Add how usual the linked login's value of `column` is for this user.
 
-    Trades whose login has no value there go.
+    Trades whose login has no value there go. `hot` are the trades' hot pairs of user
+    and value, `hot_logins` the logins' hot users.
     """
-    share = usage_share(logins, column).withColumnRenamed(column, f"login_{column}")
+    share = usage_share(logins, column, hot=hot_logins).withColumnRenamed(column, f"login_{column}")
     return attach(trades, share, ["id", f"login_{column}"], "inner", hot)
 
 
@@ -90,10 +95,11 @@ def trade_features(
         out = attach(out, per_user, ["id"], "inner", hot)
     if version == "v3":
         out = with_hour_deviation(out).drop("l_time_mean")
+    hot_logins = hot_keys(logins, ["id"])
     for column in SHARES:
         # A user and a value can be hot only where the user is.
         pair = None if hot is None else hot_keys(trades_with(trades, out, column), ["id", f"login_{column}"])
-        out = with_usage_share(out, logins, column, pair)
+        out = with_usage_share(out, logins, column, pair, hot_logins)
     return out.drop("login_id", *LINK_COLUMNS)
 
 

@@ -37,7 +37,7 @@ def user_features(logins: DataFrame, version: str = "v3", modulus: int = 1000) -
     statistics are 0.
     """
     failed, has_failed = failed_login_aggregates()
-    return (
+    out = (
         logins.where(F.col("id").isNotNull())
         .groupBy("id")
         .agg(
@@ -49,8 +49,8 @@ def user_features(logins: DataFrame, version: str = "v3", modulus: int = 1000) -
         )
         .where("_has_failed")
         .drop("_has_failed")
-        .na.fill(0)
     )
+    return out.na.fill(0, [c for c in out.columns if c != "id"])
 
 
 def login_gaps(logins: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
