@@ -72,7 +72,7 @@ def a13(spark, d):
 )
 def a14(spark, d):
     counts = agg.whole_second_aggregates("timelong", MODULUS, "timeScale", ("False", "True"))
-    return logins(spark, d).groupBy("id").agg(*counts)
+    return agg.group(logins(spark, d), counts, {})
 
 
 @query(

@@ -20,48 +20,60 @@ def distinct_keys(df: DataFrame, by: str = "id") -> DataFrame:
     return df.select(by).where(F.col(by).isNotNull()).distinct()
 
 
-def named_aggregates(columns: Names, functions: Names) -> list[Column]:
-    """Every function of every column, as `<column>_<function>`."""
-    return [BY_NAME[f](c).alias(f"{c}_{f}") for c in _listed(columns) for f in _listed(functions)]
-
-
 def aggregate(
-    df: DataFrame,
-    columns: Names,
-    functions: Names,
-    by: str = "id",
-    extra: list[Column] | None = None,
-    hot: DataFrame | None | bool = True,
+    df: DataFrame, columns: Names, functions: Names, by: str = "id", hot: DataFrame | None | bool = True
 ) -> DataFrame:
-    """Several functions of several columns in one grouping, plus any further aggregates.
-
-    `mad` is the mean absolute deviation about the mean. It needs the group's mean on
-    each row first; when asked for, that is added ahead of the same single grouping.
-    """
-    columns, functions = _listed(columns), _listed(functions)
-    return aggregate_many(df, [(columns, functions)], by, extra, hot)
+    """Several functions of several columns per key, as `<column>_<function>`."""
+    return aggregate_many(df, [(columns, functions)], by, hot)
 
 
 def aggregate_many(
-    df: DataFrame,
-    wanted: list[tuple[Names, Names]],
-    by: str = "id",
-    extra: list[Column] | None = None,
-    hot: DataFrame | None | bool = True,
+    df: DataFrame, wanted: list[tuple[Names, Names]], by: str = "id", hot: DataFrame | None | bool = True
 ) -> DataFrame:
-    """As `aggregate`, for several (columns, functions) pairs at once."""
+    """As `aggregate`, for several (columns, functions) pairs at once.
+
+    `mad` is the mean absolute deviation about the mean. It needs the group's mean on
+    each row first; when asked for, that is added ahead of the same grouping.
+    """
     pairs = [(c, f) for columns, functions in wanted for c in _listed(columns) for f in _listed(functions)]
     df = df.where(F.col(by).isNotNull())
     centred = list(dict.fromkeys(c for c, f in pairs if f == MEAN_ABSOLUTE_DEVIATION))
-    if centred:
-        df = with_group_values(df, [by], {f"_mean_{c}": F.avg(c) for c in centred}, hot)
+    plain = with_group_values(df, [by], {f"_mean_{c}": F.avg(c) for c in centred}, hot) if centred else df
 
     def one(c: str, f: str) -> Column:
         if f == MEAN_ABSOLUTE_DEVIATION:
             return F.avg(F.abs(F.col(c) - F.col(f"_mean_{c}")))
         return BY_NAME[f](c)
 
-    return df.groupBy(by).agg(*[one(c, f).alias(f"{c}_{f}") for c, f in pairs], *(extra or []))
+    named = {f: {f"{c}_{f}": one(c, f) for c, g in pairs if g == f} for _, f in pairs}
+    different = named.pop("nunique", {})
+    out = group(plain, {n: a for part in named.values() for n, a in part.items()}, different, by, df)
+    return out.select(by, *[f"{c}_{f}" for c, f in pairs])
+
+
+def group(
+    df: DataFrame,
+    plain: dict[str, Column],
+    different: dict[str, Column],
+    by: str = "id",
+    different_of: DataFrame | None = None,
+) -> DataFrame:
+    """One grouping for plain aggregates, one for counts of different values, joined on the key.
+
+    Spark multiplies the rows by the number of columns it counts different values of.
+    Kept apart, that happens to the counted columns only; both sides end up laid out by
+    the key, so the join moves nothing. `different_of` may name a narrower table for it.
+    """
+
+    def one(rows: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+        return rows.groupBy(by).agg(*[a.alias(n) for n, a in aggregates.items()])
+
+    rows = df if different_of is None else different_of
+    if not different:
+        return one(df, plain)
+    if not plain:
+        return one(rows, different)
+    return one(df, plain).join(one(rows, different), by)
 
 
 def whole_second_counts(df: DataFrame, column: str = "timelong", modulus: int = 1000, by: str = "id") -> DataFrame:
@@ -79,10 +91,10 @@ def whole_second_counts(df: DataFrame, column: str = "timelong", modulus: int =
 
 def whole_second_aggregates(
     column: str = "timelong", modulus: int = 1000, prefix: str = "whole_sec", names: tuple[str, str] = ("false", "true")
-) -> list[Column]:
+) -> dict[str, Column]:
     """The same counts as plain aggregates, to sit with others in one grouping."""
     whole = is_multiple(column, modulus)
-    return [F.count_if(~whole).alias(f"{prefix}_{names[0]}"), F.count_if(whole).alias(f"{prefix}_{names[1]}")]
+    return {f"{prefix}_{names[0]}": F.count_if(~whole), f"{prefix}_{names[1]}": F.count_if(whole)}
 
 
 def failed_login_aggregates(result: str = "result", success: object = 1) -> tuple[Column, Column]:

@@ -28,7 +28,9 @@ SAMPLES_PER_PIECE = 64
 
 LANE = "_lane"
 _COPIES = "_copies"
+_ROWS = "_rows"
 _POINTS = "_points"
+_HERE = "_here"
 
 
 def known(by: list[str]) -> Column:
@@ -44,37 +46,33 @@ def _limits(df: DataFrame) -> tuple[int, int]:
 def hot_keys(rows: DataFrame, by: list[str]) -> DataFrame | None:
     """The hot keys of `rows` with the number of pieces each should be cut into.
 
-    One pass over the key columns. None when no key is hot. With an empty `by` the
-    whole table counts as one key.
+    One pass over the key columns, and a count of the rows where that finds large keys.
+    None when no key is hot. With an empty `by` the whole table counts as one key.
     """
     least, tasks = _limits(rows)
-    pieces = T.StructField(_COPIES, T.IntegerType(), False)
+    sizes = [T.StructField(_COPIES, T.IntegerType(), False), T.StructField(_ROWS, T.LongType(), False)]
     if not by:
         n = rows.count()
         if n < least or tasks < 2:
             return None
-        return rows.sparkSession.createDataFrame([(tasks,)], T.StructType([pieces]))
-    counts = (
-        rows.select(*by)
-        .groupingSets([[F.col(c) for c in by], []], *by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_level"))
-        .where(F.col("_n") >= least)
-        .orderBy(F.desc("_level"), F.desc("_n"))
-        .limit(tasks + 1)
+        return rows.sparkSession.createDataFrame([(tasks, n)], T.StructType(sizes))
+    found = (
+        rows.where(known(by))
+        .groupBy(*by)
+        .agg(F.count(F.lit(1)).alias(_ROWS))
+        .where(F.col(_ROWS) >= least)
+        .orderBy(F.desc(_ROWS))
+        .limit(tasks)
         .collect()
     )
-    if not counts or counts[0]["_level"] == 0:
+    if not found:
         return None
-    average = counts[0]["_n"] / tasks
-    hot = [
-        tuple(r[c] for c in by) + (math.ceil(r["_n"] / average),)
-        for r in counts[1:]
-        if r["_n"] > average and all(r[c] is not None for c in by)
-    ]
+    average = rows.count() / tasks
+    hot = [tuple(r[c] for c in by) + (math.ceil(r[_ROWS] / average), r[_ROWS]) for r in found if r[_ROWS] > average]
     if not hot:
         return None
     fields = [T.StructField(c, rows.schema[c].dataType, True) for c in by]
-    return rows.sparkSession.createDataFrame(hot, T.StructType([*fields, pieces]))
+    return rows.sparkSession.createDataFrame(hot, T.StructType([*fields, *sizes]))
 
 
 def attach(
@@ -90,7 +88,7 @@ def attach(
         hot = hot_keys(rows, by)
     if hot is None:
         return rows.join(per_key, by, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot.drop(_ROWS))
     dealt = F.when(F.col(_COPIES).isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col(_COPIES)).cast("int"))
     left = rows.join(hot, by, "left").withColumn(LANE, F.coalesce(dealt, F.lit(0))).drop(_COPIES)
     lanes = F.sequence(F.lit(0), F.coalesce(F.col(_COPIES), F.lit(1)) - 1)
@@ -117,21 +115,21 @@ def with_group_values(
     return attach(rows, per_key, by, "inner", hot)
 
 
-def _order(columns: list[str], order: list[str]) -> Column:
+def _order(order: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
 def _cut_points(rows: DataFrame, by: list[str], order: list[str], hot: DataFrame) -> DataFrame:
     """Where to cut the hot keys, read off a sample of bounded size."""
     spark = rows.sparkSession
+    found = hot.collect()
+    pieces, n = sum(r[_COPIES] for r in found), sum(r[_ROWS] for r in found)
     keyed = rows.select(*dict.fromkeys([*by, *order])).dropna(subset=order)
-    keyed = keyed.join(F.broadcast(hot), by) if by else keyed.withColumn(_COPIES, F.lit(hot.first()[0]))
-    pieces = hot.agg(F.sum(_COPIES)).first()[0]
-    n = keyed.count()
-    sample = keyed.sample(min(1.0, SAMPLES_PER_PIECE * pieces / max(n, 1)), seed=1)
+    keyed = keyed.join(F.broadcast(hot), by) if by else keyed.withColumn(_COPIES, F.lit(pieces))
+    sample = keyed.sample(min(1.0, SAMPLES_PER_PIECE * pieces / n), seed=1)
     picked = (
         sample.groupBy(*by)
-        .agg(F.sort_array(F.collect_list(_order(rows.columns, order))).alias("_s"), F.first(_COPIES).alias(_COPIES))
+        .agg(F.sort_array(F.collect_list(_order(order))).alias("_s"), F.first(_COPIES).alias(_COPIES))
         .select(
             *by,
             F.transform(
@@ -157,21 +155,20 @@ def with_lanes(
     if hot is None:
         return rows, None
     points = _cut_points(rows, by, order, hot)
-    longest = points.agg(F.max(F.size(_POINTS))).first()[0] or 0
+    longest = max((len(r[_POINTS]) for r in points.collect()), default=0)
     strides = [1 << b for b in range(max(longest, 1).bit_length() - 1, -1, -1)]
-    here = _order(rows.columns, order)
+    here = _order(order)
     if by:
         rows = rows.join(F.broadcast(points), by, "left")
     else:
         rows = rows.withColumn(_POINTS, points.select(_POINTS).scalar())
-    cuts = F.col(_POINTS)
-    # Binary search for the last cut at or before the row.
-    lane = F.reduce(
-        F.array(*[F.lit(s) for s in strides]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) <= here, at + step).otherwise(at),
-    )
-    return rows.withColumn(LANE, F.when(cuts.isNotNull(), lane).otherwise(0)).drop(_POINTS), points
+    # Binary search for the last cut at or before the row, one column per step: unlike a
+    # lambda over the array, this is compiled, and it does not copy the array about.
+    rows = rows.withColumns({LANE: F.lit(0), _HERE: _order(order)})
+    for step in strides:
+        beyond = F.get(_POINTS, F.col(LANE) + (step - 1)) <= F.col(_HERE)
+        rows = rows.withColumn(LANE, F.when(beyond, F.col(LANE) + step).otherwise(F.col(LANE)))
+    return rows.drop(_POINTS, _HERE), points
 
 
 def only_hot(laned: DataFrame, by: list[str], points: DataFrame) -> DataFrame:

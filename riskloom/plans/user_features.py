@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.aggregates import aggregate_many, failed_login_aggregates, whole_second_aggregates
+from riskloom.operators.aggregates import aggregate_many, failed_login_aggregates, group, whole_second_aggregates
 from riskloom.operators.ordered import with_gap_parts
 
 # Columns whose different values are counted, per feature version.
@@ -20,36 +20,31 @@ V2_GAP = ["min", "max", "std", "var", "mean", "skew", "mad"]
 V2_GAPS = ["login_diff_day", "login_diff_seconds"]
 
 
-def _duration_statistics(column: str = "timelong") -> list[Column]:
-    return [
-        F.min(column).alias(f"{column}_min"),
-        F.max(column).alias(f"{column}_max"),
-        F.avg(column).alias(f"{column}_Mean"),
-        F.var_samp(column).alias(f"{column}_var"),
-        F.stddev_samp(column).alias(f"{column}_std"),
-    ]
+def _duration_statistics(column: str = "timelong") -> dict[str, Column]:
+    return {
+        f"{column}_min": F.min(column),
+        f"{column}_max": F.max(column),
+        f"{column}_Mean": F.avg(column),
+        f"{column}_var": F.var_samp(column),
+        f"{column}_std": F.stddev_samp(column),
+    }
 
 
 def user_features(logins: DataFrame, version: str = "v3", modulus: int = 1000) -> DataFrame:
-    """Login features V1 or V3, all in one grouping.
+    """Login features V1 or V3 per user.
 
     Users without a row that is not a successful login have no row, and missing
     statistics are 0.
     """
     failed, has_failed = failed_login_aggregates()
-    out = (
-        logins.where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(
-            *whole_second_aggregates("timelong", modulus),
-            *_duration_statistics(),
-            *[F.count_distinct(c).alias(f"{c}_Counts") for c in COUNTED[version]],
-            failed.alias("result_no1_Counts"),
-            has_failed.alias("_has_failed"),
-        )
-        .where("_has_failed")
-        .drop("_has_failed")
-    )
+    plain = {
+        **whole_second_aggregates("timelong", modulus),
+        **_duration_statistics(),
+        "result_no1_Counts": failed,
+        "_has_failed": has_failed,
+    }
+    different = {f"{c}_Counts": F.count_distinct(c) for c in COUNTED[version]}
+    out = group(logins.where(F.col("id").isNotNull()), plain, different).where("_has_failed").drop("_has_failed")
     return out.na.fill(0, [c for c in out.columns if c != "id"])
 
 
