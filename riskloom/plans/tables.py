@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.operators.hotkeys import attach, hot_keys
-from riskloom.operators.joins import attach_login
 from riskloom.operators.shaping import to_front
-from riskloom.plans.trade_features import linked_trades, trade_features, trade_gaps_v2
+from riskloom.plans.trade_features import hot_users, linked_trades, trade_features, trade_gaps_v2
 from riskloom.plans.user_features import login_gaps, user_features, user_features_v2
 
 # Login columns that a V2 model row keeps.
@@ -21,10 +21,11 @@ def transfer_data(logins: DataFrame, trades: DataFrame, version: str = "v3", mod
     Trades without `login_id` are linked first. With `is_risk` this is the training
     table, without it the table to score.
     """
+    hot = hot_users(logins, trades)
     if "login_id" not in trades.columns:
-        trades = linked_trades(trades, logins)
+        trades = linked_trades(trades, logins, hot=hot)
     users = user_features(logins, version, modulus)
-    table = trade_features(trades, logins, version, users)
+    table = trade_features(trades, logins, version, users, hot)
     return to_front(table.drop("time"), "rowkey", "is_risk", "id")
 
 
@@ -42,11 +43,12 @@ def trade_table_v2(logins: DataFrame, trades: DataFrame) -> DataFrame:
     The user's features are joined to the trades rather than to every login: the rows
     are the same, and the login log is not widened.
     """
-    hot_logins = hot_keys(logins, ["id"])
-    hot_trades = hot_keys(trades, ["id"])
-    gapped = login_gaps(logins, hot_logins)
-    users = user_features_v2(gapped, hot_logins)
-    out = trade_gaps_v2(trades, hot_trades)
-    out = attach_login(out, gapped, {c: c for c in V2_ROW})
-    out = attach(out, users, ["id"], "inner", hot_trades)
+    hot = hot_users(logins, trades)
+    gapped = login_gaps(logins, hot)
+    users = user_features_v2(gapped, hot)
+    out = trade_gaps_v2(trades, hot)
+    out = attach(out, users, ["id"], "inner", hot)
+    # A login can be hot only where its user is.
+    side = gapped.select(F.col("log_id").alias("login_id"), *V2_ROW)
+    out = attach(out, side, ["login_id"], "inner", None if hot is None else hot_keys(trades, ["login_id"]))
     return to_front(out.drop("time", "login_id"), "rowkey", "is_risk", "id")

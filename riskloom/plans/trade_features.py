@@ -18,9 +18,16 @@ SHARES = ["device", "city"]
 GAP_DAY = "trade_time_sub_day"
 
 
-def linked_trades(trades: DataFrame, logins: DataFrame, truncate_seconds: bool = False) -> DataFrame:
+def hot_users(logins: DataFrame, trades: DataFrame) -> DataFrame | None:
+    """Users with too many rows in both logs together: found once, used by all steps on either log."""
+    return hot_keys(logins.select("id").unionByName(trades.select("id")), ["id"])
+
+
+def linked_trades(
+    trades: DataFrame, logins: DataFrame, truncate_seconds: bool = False, hot: DataFrame | None | bool = True
+) -> DataFrame:
     """Trades with their link and the login columns the features need, written once."""
-    return freeze(link_asof(trades, logins, LINK_COLUMNS, truncate_seconds=truncate_seconds), "linked")
+    return freeze(link_asof(trades, logins, LINK_COLUMNS, truncate_seconds=truncate_seconds, hot=hot), "linked")
 
 
 def with_login_columns(trades: DataFrame, logins: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
@@ -57,16 +64,16 @@ def with_usage_share(
     trades: DataFrame,
     logins: DataFrame,
     column: str,
+    hot_pairs: DataFrame | None | bool = True,
     hot: DataFrame | None | bool = True,
-    hot_logins: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Add how usual the linked login's value of `column` is for this user.
 
-    Trades whose login has no value there go. `hot` are the trades' hot pairs of user
-    and value, `hot_logins` the logins' hot users.
+    Trades whose login has no value there go. `hot_pairs` are the trades' hot pairs of
+    user and value, `hot` the hot users.
     """
-    share = usage_share(logins, column, hot=hot_logins).withColumnRenamed(column, f"login_{column}")
-    return attach(trades, share, ["id", f"login_{column}"], "inner", hot)
+    share = usage_share(logins, column, hot=hot).withColumnRenamed(column, f"login_{column}")
+    return attach(trades, share, ["id", f"login_{column}"], "inner", hot_pairs)
 
 
 def with_hour_deviation(trades: DataFrame) -> DataFrame:
@@ -75,7 +82,11 @@ def with_hour_deviation(trades: DataFrame) -> DataFrame:
 
 
 def trade_features(
-    trades: DataFrame, logins: DataFrame, version: str = "v3", users: DataFrame | None = None
+    trades: DataFrame,
+    logins: DataFrame,
+    version: str = "v3",
+    users: DataFrame | None = None,
+    hot: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Trade features V1 or V3 for linked trades; unlinked ones go.
 
@@ -83,7 +94,8 @@ def trade_features(
     with one row per user given as `users` is joined on the way, while the trades are
     laid out by user for the gaps; users missing from it lose their trades.
     """
-    hot = hot_keys(trades, ["id"])
+    if hot is True:
+        hot = hot_users(logins, trades)
     out = trade_login_gap(with_login_columns(trades, logins))
     out = out.withColumn("hours", F.hour("time"))
     out = with_gap_statistics(out, hot)
@@ -95,11 +107,10 @@ def trade_features(
         out = attach(out, per_user, ["id"], "inner", hot)
     if version == "v3":
         out = with_hour_deviation(out).drop("l_time_mean")
-    hot_logins = hot_keys(logins, ["id"])
     for column in SHARES:
         # A user and a value can be hot only where the user is.
         pair = None if hot is None else hot_keys(trades_with(trades, out, column), ["id", f"login_{column}"])
-        out = with_usage_share(out, logins, column, pair, hot_logins)
+        out = with_usage_share(out, logins, column, pair, hot)
     return out.drop("login_id", *LINK_COLUMNS)
 
 
