@@ -50,6 +50,9 @@ def with_gap_statistics(trades: DataFrame, hot: DataFrame | None | bool = True)
         hot = hot_keys(trades, ["id"])
     out = with_gap(trades, ["id"], "time", "rowkey", "_gap", hot)
     out = out.withColumn(GAP_DAY, clock.gap_days("_gap")).drop("_gap")
+    if hot is not None:
+        # The statistics are then grouped and attached: a second reader of the gaps.
+        out = freeze(out, "gaps")
     statistics = {
         f"{GAP_DAY}_max": F.max(GAP_DAY),
         f"{GAP_DAY}_Mean": F.avg(GAP_DAY),
