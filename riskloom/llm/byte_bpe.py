@@ -20,6 +20,7 @@ from heapq import heappop, heappush
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.llm.rows import Memo, documents, with_columns_from_text
 
@@ -154,7 +155,7 @@ def encode_documents(
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """`encoded` with the column `text` that its `ids` decode to; bytes that are no UTF-8 become U+FFFD."""
-    joined = encoded.withColumn("__ids", _joined(encoded))
+    joined = encoded.withColumn("__ids", F.array_join(encoded["ids"].cast("array<string>"), ","))
 
     def make():
         bpe = load(path, pattern)
@@ -163,11 +164,5 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokeni
     return with_columns_from_text(joined, make, "text string", encoded.columns, text="__ids")
 
 
-def _joined(encoded: DataFrame):
-    from pyspark.sql import functions as F
-
-    return F.array_join(encoded["ids"].cast("array<string>"), ",")
-
-
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), public_tokenizers.path(RANKS), keep=["doc_id"], ids=False)

@@ -1,11 +1,14 @@
 """The queries of this subpackage and the SQL to check them against, by name."""
 
-from riskloom.llm import byte_bpe, simhash, token_counts, token_files
+from riskloom.llm import byte_bpe, decontamination, secrets, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_simhash": simhash.op4_simhash,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_files": token_files.op6_token_files,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE: dict[str, str] = {}

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskloom.sources import fixtures
 
@@ -73,20 +74,17 @@ def with_columns_from_text(
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
     source = docs.select(*kept, docs[text].alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), *new.fields])
+    arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
         work = make()
-        kinds = [pa.field(f.name, to_arrow_type(f.dataType)) for f in new.fields]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 out = [work(t or "") for t in part.column(len(kept)).to_pylist()]
-                made = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(kept)], *made], schema=pa.schema([*list(part.schema)[: len(kept)], *kinds])
-                )
+                made = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)]
+                fields = [*list(part.schema)[: len(kept)], *arrow]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], schema=pa.schema(fields))
 
     return source.mapInArrow(run, schema)
 
