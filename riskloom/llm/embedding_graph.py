@@ -128,9 +128,9 @@ def search(queries: np.ndarray, vectors: np.ndarray, lists: list[np.ndarray], be
     """Places of the vectors with at least the cosine `least` to each query, found over the graph from the medoid."""
     n, m = len(vectors), len(queries)
     widest = max((len(x) for x in lists), default=0)
-    table = np.full((n + 1, max(1, widest)), n)
+    near_to = np.full((n + 1, max(1, widest)), n)
     for i, x in enumerate(lists):
-        table[i, : len(x)] = x
+        near_to[i, : len(x)] = x
     padded = np.vstack([vectors, np.zeros(vectors.shape[1])])
     medoid = int(np.argmax(vectors @ vectors.mean(axis=0)))
     near = np.full((m, n + 1), -2.0)  # cosine where seen
@@ -153,7 +153,7 @@ def search(queries: np.ndarray, vectors: np.ndarray, lists: list[np.ndarray], be
             break
         q, k = np.nonzero(go)
         open_[live[q], best[q, k]] = -2
-        to = table[best[q, k]]
+        to = near_to[best[q, k]]
         who = np.repeat(live[q], to.shape[1])
         to = to.ravel()
         fresh = (to < n) & (near[who, to] == -2)
