@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskloom.llm.rows import Memo, documents, with_columns_from_text
-from riskloom.session import scratch_path
+from riskloom.session import freeze, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -43,7 +44,7 @@ BLOCK = 1 << 20
 ENTRY = "struct<id: bigint, start: bigint, n_tokens: bigint, at: bigint, n_bytes: bigint>"
 BLOCKS = f"part int, block int, first_id bigint, last_id bigint, tokens bigint, dictionary string, index array<{ENTRY}>, payload binary"
 
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")  # Latin letters, then marks but no apostrophe
 
 
 class Encoder:
@@ -58,7 +59,7 @@ class Encoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.model = self.library.model.tokenize
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words, self.chunks = Memo(self._word, 150_000), Memo(self._chunk)
+        self.words, self.chunks = Memo(self._word), Memo(self._chunk, 600_000)
         probe = self.library.pre_tokenizer.pre_tokenize_str  # the byte-level letters of a character
         self.letters = {c: "".join(p for p, _ in probe(chr(c))) for c in range(192, 256) if chr(c) not in "×÷"}
 
@@ -66,7 +67,8 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model(word.lower().translate(self.letters))], "<u4").tobytes()
+        ids = [t.id for t in self.model(word.lower().translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
@@ -130,6 +132,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end: int = END) -> None
     frames = with_columns_from_text(
         docs.withColumn("__tie", F.xxhash64("text")), make, "n_tokens long, frame binary", ["doc_id", "__tie"]
     )
+    frames = freeze(frames, "frames")  # cutting the ranges reads it once more
     laid_out = frames.repartitionByRange(F.col("doc_id").asc_nulls_first(), "__tie").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "__tie"
     )
