@@ -59,7 +59,7 @@ class Encoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.model = self.library.model.tokenize
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words, self.chunks = Memo(self._word), Memo(self._chunk, 600_000)
+        self.words, self.chunks = Memo(self._word), Memo(self._chunk, 1_000_000)
         probe = self.library.pre_tokenizer.pre_tokenize_str  # the byte-level letters of a character
         self.letters = {c: "".join(p for p, _ in probe(chr(c))) for c in range(192, 256) if chr(c) not in "×÷"}
 
