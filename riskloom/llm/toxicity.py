@@ -1,9 +1,10 @@
 """Toxicity scores from the nearest labelled examples.
 
 `fit` learns in Spark: a bounded sample of labelled texts (`Settings.examples` per label, by hash of the id) gives
-the candidate terms and the examples. Over all labelled training rows each candidate term is counted by label, over
+the candidate terms and the examples. Over all labelled training rows (near copies of one label count once) each candidate term is counted by label, over
 all documents for its document frequency; a term is used if toxic rows hold it more often, by a log-likelihood
-ratio (G) of at least `Settings.least_ratio`. Examples become TF-IDF vectors of unit length over these terms.
+ratio (G) of at least `Settings.least_ratio`, and at least `Settings.lift` times as often as other rows: evidence
+alone grows with the rows, so that at some size any common word would do. Examples become TF-IDF vectors of unit length over these terms.
 
 Scoring finds the `k` examples of highest cosine exactly. Example numbers are cut into blocks; the index holds, per
 term and block, the postings and their largest weight. Blocks are visited in falling order of the bound that these
@@ -40,6 +41,7 @@ class Settings:
     examples: int = 1500  # labelled texts per label at most
     least: int = 5  # a candidate term is in so many of them
     least_ratio: float = 40.0
+    lift: float = 3.0
     k: int = 15
     prior_weight: float = 1.0
     block: int = 64
@@ -169,6 +171,17 @@ def _features(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFr
     return with_columns_from_text(docs, make, "terms array<int>", keep)
 
 
+def _one_of_each(labelled: DataFrame) -> DataFrame:
+    """One row of each label for near copies: rows of ten terms or more whose sets of terms agree in three min-hashes.
+
+    A text that is there a thousand times is one observation, or all its words would look typical of its label.
+    """
+    signs = [F.array_min(F.transform("terms", lambda t, i=i: F.xxhash64(t, F.lit(i)))) for i in range(3)]
+    apart = F.when(F.size("terms") < 10, F.col("doc_id"))
+    keyed = labelled.select("doc_id", "terms", "toxic", F.xxhash64(*signs).alias("sign"), apart.alias("apart"))
+    return keyed.groupBy("toxic", "sign", "apart").agg(F.min_by("terms", "doc_id").alias("terms"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from `labels` (doc_id, toxic), already cut to the rows that may be learnt from."""
     train = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -180,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     features = freeze(_features(docs.select("doc_id", "text"), vocabulary, ["doc_id"]), "terms")
     n_docs = features.count()
     counted = features.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
-    labelled = features.join(train, "doc_id")
+    labelled = freeze(_one_of_each(features.join(train, "doc_id")), "labelled")
     rows = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     by_label = labelled.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(
         F.sum("toxic").alias("a"), F.count("*").alias("both")
@@ -189,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     used = set()
     for r in by_label.collect():
         a, b = r["a"], r["both"] - r["a"]
-        if a * n0 > b * n1 and _ratio(a, b, n1 - a, n0 - b) >= settings.least_ratio:
+        if a * n0 >= settings.lift * b * n1 and _ratio(a, b, n1 - a, n0 - b) >= settings.least_ratio:
             used.add(r["term"])
     idf = {vocabulary[r["term"]]: math.log((1 + n_docs) / (1 + r["n"])) + 1 for r in counted if r["term"] in used}
     mask = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(used)])) if used else F.lit(False)
