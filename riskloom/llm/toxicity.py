@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples.
 
 `fit` learns in Spark: a bounded sample of labelled texts (`Settings.examples` per label, by hash of the id) gives
-the candidate terms and the examples. Over all labelled training rows (near copies of one label count once) each candidate term is counted by label, over
+the candidate terms (with half the lift below) and the examples. Over all labelled training rows (near copies of one label count once) each candidate term is counted by label, over
 all documents for its document frequency; a term is used if toxic rows hold it more often, by a log-likelihood
 ratio (G) of at least `Settings.least_ratio`, and at least `Settings.lift` times as often as other rows: evidence
 alone grows with the rows, so that at some size any common word would do. Examples become TF-IDF vectors of unit length over these terms.
@@ -156,30 +156,37 @@ def _ratio(*cells: int) -> float:
     return 2 * sum(o * math.log(o * (a + b + c + d) / e) for o, e in zip(cells, expected) if o)
 
 
-def _features(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
-    """Numbers of the vocabulary's terms that each text holds."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+def _sign(numbers: list[int]) -> int | None:
+    """Three min-hashes of a set of term numbers as one value; none for sets of fewer than ten."""
+    if len(numbers) < 10:
+        return None
+    least = [min(n * odd & 0xFFFFFFFF for n in numbers) for odd in (2654435761, 2246822519, 3266489917)]
+    return (least[0] << 32 ^ least[1] << 16 ^ least[2]) & 0x7FFFFFFFFFFFFFFF
+
+
+def _features(docs: DataFrame, number: dict[str, int], wanted: set[int], keep: list[str]) -> DataFrame:
+    """The wanted terms that each text holds, and the sign of all numbered ones."""
+    shared = docs.sparkSession.sparkContext.broadcast((number, wanted))
 
     def make():
-        number = shared.value
+        number, wanted = shared.value
 
         def work(text: str) -> tuple:
-            return ([number[t] for t in set(terms_of(text)) & number.keys()],)
+            held = [number[t] for t in set(terms_of(text)) & number.keys()]
+            return [n for n in held if n in wanted], _sign(held)
 
         return work
 
-    return with_columns_from_text(docs, make, "terms array<int>", keep)
+    return with_columns_from_text(docs, make, "terms array<int>, sign long", keep)
 
 
 def _one_of_each(labelled: DataFrame) -> DataFrame:
-    """One row of each label for near copies: rows of ten terms or more whose sets of terms agree in three min-hashes.
+    """One row of each label for near copies, that is for rows of one sign.
 
     A text that is there a thousand times is one observation, or all its words would look typical of its label.
     """
-    signs = [F.array_min(F.transform("terms", lambda t, i=i: F.xxhash64(t, F.lit(i)))) for i in range(3)]
-    apart = F.when(F.size("terms") < 10, F.col("doc_id"))
-    keyed = labelled.select("doc_id", "terms", "toxic", F.xxhash64(*signs).alias("sign"), apart.alias("apart"))
-    return keyed.groupBy("toxic", "sign", "apart").agg(F.min_by("terms", "doc_id").alias("terms"))
+    apart = F.when(F.col("sign").isNull(), F.col("doc_id")).alias("apart")
+    return labelled.groupBy("toxic", "sign", apart).agg(F.min_by("terms", "doc_id").alias("terms"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -190,7 +197,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return Model(settings, {}, [], (1.0, 1.0), 0.0)
     frequency = Counter(t for _, _, counts in examples for t in counts)
     vocabulary = sorted(t for t, n in frequency.items() if n >= settings.least)
-    features = freeze(_features(docs.select("doc_id", "text"), vocabulary, ["doc_id"]), "terms")
+    number = {t: i for i, t in enumerate(vocabulary)}
+    # Copies among the examples count once as well; terms without half the lift there are not counted further.
+    single = {(y, _sign([number[t] for t in c if t in number]) or f"id {i}"): c for i, y, c in examples}
+    seen = {label: Counter(t for (y, _), c in single.items() if y == label for t in c) for label in (0, 1)}
+    rows = Counter(y for y, _ in single)
+    wanted = {number[t] for t in vocabulary if seen[1][t] * rows[0] >= settings.lift / 2 * seen[0][t] * rows[1]}
+    features = freeze(_features(docs.select("doc_id", "text"), number, wanted, ["doc_id"]), "terms")
     n_docs = features.count()
     counted = features.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
     labelled = freeze(_one_of_each(features.join(train, "doc_id")), "labelled")
