@@ -1,10 +1,12 @@
 """WARC archives as a chunked record table.
 
-A record is a run of rows (archive, record, chunk number): chunk 0 holds the WARC header block, the following ones
-at most `CHUNK` bytes of payload each, the last one the two line ends that close a record. The bytes of a record's
-rows in order are the WARC record, so exporting an archive is joining bytes (`export`). Each row carries the digest
+A record of a payload of at most `CHUNK` bytes is one row. An oversized one is a run of rows (archive, record, chunk
+number): chunk 0 holds the WARC header block, the following ones at most `CHUNK` bytes of payload each, the last one
+the two line ends that close a record. The bytes of a record's rows in order are the WARC record, so exporting an
+archive is joining bytes (`export`). Each row carries the digest
 of the payload up to and with its chunk, taken incrementally; a reader that streams the rows in order (`read`) never
-holds a whole record, checks every such digest, and the last one against the header's.
+holds an oversized record, checks every such digest, and the last one against the header's. Only rows of oversized
+records are shuffled for that.
 
 Of records with equal payloads of at least `least` bytes the one with the largest page id is the response and holds
 the payload, the others are revisits that name it; smaller ones are all responses. Equality is that of SHA-256 and
@@ -32,7 +34,7 @@ CHUNK = 256 * 1024
 DATE = "2020-01-01T00:00:00Z"
 _CLOSE = b"\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs
-CHUNKS = "archive int, record string, chunk long, data binary, digest string"
+CHUNKS = "archive int, record string, chunk long, whole boolean, data binary, digest string"
 
 
 def base32(digest: bytes) -> str:
@@ -74,15 +76,18 @@ def chunk_rows(archive: int, page_id, url, payload: bytes, sha256: str, last_id,
     refers = (record_id(last_id, sha256), last_id) if revisit else None
     record = uuid.uuid4().hex
     kind = "revisit" if revisit else "response"
-    yield archive, record, 0, header(kind, record_id(page_id, sha256), page_id, url, len(view), full, refers), ""
+    head = header(kind, record_id(page_id, sha256), page_id, url, len(view), full, refers)
+    if revisit or len(view) <= CHUNK:
+        yield archive, record, 0, True, head + (b"" if revisit else bytes(view)) + _CLOSE, full
+        return
+    yield archive, record, 0, False, head, ""
     chunk, digest = 1, hashlib.sha1()
-    if not revisit:
-        for at in range(0, len(view), CHUNK):
-            part = view[at : at + CHUNK]
-            digest.update(part)
-            yield archive, record, chunk, part, base32(digest.digest())
-            chunk += 1
-    yield archive, record, chunk, _CLOSE, full
+    for at in range(0, len(view), CHUNK):
+        part = view[at : at + CHUNK]
+        digest.update(part)
+        yield archive, record, chunk, False, part, base32(digest.digest())
+        chunk += 1
+    yield archive, record, chunk, False, _CLOSE, full
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> None:
@@ -106,7 +111,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> None:
                 body = html.as_buffer().to_pybytes() if len(html.as_buffer()) <= CHUNK else html.as_buffer()
                 for row in chunk_rows(archive, page_id.as_py(), url.as_py(), body, sha256.as_py(), last_id.as_py(), duplicated.as_py()):
                     out.append(row)
-                    size += len(row[3])
+                    size += len(row[4])
                     if size >= 4 * CHUNK:
                         yield _batch(out, arrow)
                         out, size = [], 0
@@ -125,10 +130,22 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """What each record of the archives says, after checking the payload that is there against its digests."""
-    chunks = spark.read.schema(CHUNKS).parquet(folder).select("record", "chunk", "data", "digest")
-    ordered = chunks.repartition("record").sortWithinPartitions("record", "chunk")
+    stored = spark.read.schema(CHUNKS).parquet(folder)
+    ordered = stored.where("not whole").select("record", "chunk", "data", "digest").repartition("record").sortWithinPartitions("record", "chunk")
     arrow = to_arrow_schema(T._parse_datatype_string(RECORD))
 
+    def parse_whole(batches):
+        for batch in batches:
+            out = []
+            for record, data in zip(*(c.to_pylist() for c in batch.columns)):
+                end = data.index(_CLOSE) + len(_CLOSE)
+                fields, payload = _fields(data[:end]), data[end : -len(_CLOSE)]
+                if not data.endswith(_CLOSE):
+                    raise ValueError(f"record {record}: no end after its payload")
+                out.append(_record(record, fields, hashlib.sha1(payload), len(payload)))
+            if out:
+                yield _batch(out, arrow)
+
     def parse(batches):
         now, fields, running, n = None, {}, None, 0
         for batch in batches:
@@ -137,9 +154,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if chunk == 0:
                     if now is not None:
                         raise ValueError(f"record {now} has no end")
-                    lines = data.decode().split("\r\n")
-                    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:] if line)
-                    now, running, n, due = record, hashlib.sha1(), 0, 1
+                    now, fields, running, n, due = record, _fields(data), hashlib.sha1(), 0, 1
                     continue
                 if record != now or chunk != due:
                     raise ValueError(f"record {record}: chunk {chunk} out of place")
@@ -159,7 +174,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         if now is not None:
             raise ValueError(f"record {now} has no end")
 
-    return ordered.mapInArrow(parse, RECORD)
+    small = stored.where("whole").select("record", "data").mapInArrow(parse_whole, RECORD)
+    return small.unionAll(ordered.mapInArrow(parse, RECORD))
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.decode().split("\r\n")
+    return dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:] if line)
 
 
 def _record(name: str, fields: dict[str, str], running, n: int) -> tuple:
