@@ -4,7 +4,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.catalog.registry import linked, logins, query, sql, trades
+from riskloom.catalog.registry import linked, logins, query, sql, table, trades
 from riskloom.functions import scalars
 from riskloom.model.estimators import vector_stages
 from riskloom.model.sampling import random_labels, smallest_draws
@@ -151,14 +151,13 @@ def f3(spark, d):
 @query(
     "f4_member_of",
     sql(
-        "SELECT rowkey, id FROM trade WHERE id IN (SELECT id FROM login WHERE result = 31 AND device = 2)",
-        "login",
+        "SELECT rowkey, id FROM trade WHERE id IN (SELECT o_custkey FROM orders)",
         "trade",
     ),
 )
 def f4(spark, d):
-    seen = logins(spark, d).where("result = 31 and device = 2")
-    return present_in(trades(spark, d), seen, ["id"]).select("rowkey", "id")
+    buyers = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    return present_in(trades(spark, d), buyers, ["id"]).select("rowkey", "id")
 
 
 @query(
@@ -214,12 +213,12 @@ def u1(spark, d):
     "u2_recombine",
     sql(
         """(SELECT rowkey, is_risk FROM trade WHERE is_risk = 1) UNION ALL
-        (SELECT rowkey, is_risk FROM trade WHERE is_risk = 0 ORDER BY md5('5:' || rowkey), rowkey LIMIT 100)""",
+        (SELECT rowkey, is_risk FROM (SELECT rowkey, is_risk, row_number() OVER (ORDER BY md5('5:' || rowkey), rowkey) AS n
+          FROM trade WHERE is_risk = 0) WHERE n <= (SELECT count(*) FROM trade WHERE is_risk = 1))""",
         "trade",
     ),
 )
 def u2(spark, d):
     trade = trades(spark, d).select("rowkey", "is_risk")
-    return shaping.union_all(
-        trade.where("is_risk = 1"), smallest_draws(trade.where("is_risk = 0"), 100, "rowkey", seed=5)
-    )
+    risky = trade.where("is_risk = 1")
+    return shaping.union_all(risky, smallest_draws(trade.where("is_risk = 0"), risky.count(), "rowkey", seed=5))

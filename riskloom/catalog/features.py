@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.catalog.registry import (
     MODULUS,
+    PARTS,
     linked,
     logins,
     query,
@@ -57,6 +58,23 @@ query(
 )(model_table_v3)
 
 
+@query(
+    "e5_model_table_v3_whole_seconds",
+    sql("SELECT * EXCLUDE (trade_time) FROM users_v3 JOIN trade_v3 USING (id)", "users_v3", "trade_v3").replace(
+        PARTS["linked"],
+        """
+      SELECT t.* EXCLUDE (cut), l.log_id AS login_id, l.login_time, l.device AS login_device, l.city AS login_city
+      FROM (SELECT *, date_trunc('second', trade_time) AS cut FROM trade) t ASOF LEFT JOIN
+        (SELECT *, date_trunc('second', login_time) AS at FROM login
+          QUALIFY row_number() OVER (PARTITION BY id, date_trunc('second', login_time) ORDER BY log_id) = 1) l
+        ON t.id = l.id AND t.cut > l.at""",
+    ),
+)
+def e5_v3_seconds(spark, d):
+    """As the flagship, with the times cut to the second before they are linked."""
+    return rounded(tables.transfer_data(logins(spark, d), trades(spark, d), "v3", MODULUS, truncate_seconds=True))
+
+
 @query(
     "e6_login_table_v2",
     sql(

@@ -12,15 +12,15 @@ from riskloom.plans.user_features import user_features
 @query(
     "j1_inner",
     sql(
-        """SELECT rowkey, n FROM trade JOIN (SELECT id, count(*) AS n FROM login WHERE result = 31 GROUP BY id)
+        """SELECT rowkey, n FROM trade JOIN (SELECT id, count(*) AS n FROM login GROUP BY id)
         USING (id)""",
         "login",
         "trade",
     ),
 )
 def j1(spark, d):
-    failed = logins(spark, d).where("result = 31").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return attach(trades(spark, d), failed, ["id"]).select("rowkey", "n")
+    seen = logins(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return attach(trades(spark, d), seen, ["id"]).select("rowkey", "n")
 
 
 @query(
@@ -66,35 +66,31 @@ def j4(spark, d):
 @query(
     "j5_suffixes",
     sql(
-        """SELECT o_custkey, a.n AS n_x, a.last AS last_x, b.n AS n_y, b.last AS last_y
-        FROM (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
-        JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b
-        USING (o_custkey)""",
+        """SELECT id, a.n AS n_x, a.last AS last_x, b.n AS n_y, b.last AS last_y
+        FROM (SELECT o_custkey AS id, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1) a
+        JOIN (SELECT id, count(*) AS n, max(trade_time) AS last FROM trade GROUP BY 1) b USING (id)""",
+        "trade",
     ),
 )
 def j5(spark, d):
-    def part(status):
-        orders = table(spark, d, "orders").where(F.col("o_orderstatus") == status)
-        return orders.groupBy("o_custkey").agg(
-            F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last")
-        )
+    def per_user(rows, time):
+        return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("last"))
 
-    return joins.join_suffixed(part("F"), part("O"), ["o_custkey"])
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
+    return joins.join_suffixed(per_user(orders, "o_orderdate"), per_user(trades(spark, d), "time"), ["id"])
 
 
 @query(
     "j6_full_outer",
     sql(
-        """SELECT id, a.timelong_max, b.risks FROM (SELECT id, max(timelong) AS timelong_max FROM login
-          WHERE device = 1 AND result = 31 GROUP BY id) a
-        FULL JOIN (SELECT id, sum(is_risk)::BIGINT AS risks FROM trade WHERE is_risk = 1 GROUP BY id) b USING (id)""",
-        "login",
+        """SELECT id, a.orders, b.risks FROM (SELECT o_custkey AS id, count(*) AS orders FROM orders GROUP BY 1) a
+        FULL JOIN (SELECT id, sum(is_risk)::BIGINT AS risks FROM trade GROUP BY id) b USING (id)""",
         "trade",
     ),
 )
 def j6(spark, d):
-    a = logins(spark, d).where("device = 1 and result = 31").groupBy("id").agg(F.max("timelong").alias("timelong_max"))
-    b = trades(spark, d).where("is_risk = 1").groupBy("id").agg(F.sum("is_risk").alias("risks"))
+    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("orders"))
+    b = trades(spark, d).groupBy("id").agg(F.sum("is_risk").alias("risks"))
     return joins.side_by_side(a, b, "id")
 
 

@@ -21,14 +21,29 @@ MISSING = -1.0
 FULL_MODEL = {"trees": 1000, "rate": 0.3, "depth": 5, "row_share": 0.8, "column_share": 0.8, "seed": 27}
 
 
-def vector_stages(df: DataFrame, columns: list[str] | None = None) -> list:
+# Features of the model tables that every row has, by how their names begin; a stored table calls all columns nullable.
+_ALWAYS_THERE = (
+    "whole_sec_", "timelong", "is_scan", "is_sec", "device_", "ip_", "log_from_", "type_", "city_", "result_", "log_id_",
+    "st", "hours", "sub_l_time_mean",
+)
+# But in the V2 tables users with few rows lack these.
+_V2_STATISTICS = ("timelong_std", "timelong_var", "timelong_skew")
+
+
+def optional_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the feature columns that may be missing: gaps, their statistics and any nullable column not known here."""
+    lacking = _V2_STATISTICS if "timelong_skew" in columns else ()
+    return [c for c in columns if df.schema[c].nullable and (c in lacking or not c.startswith(_ALWAYS_THERE))]
+
+
+def vector_stages(df: DataFrame, columns: list[str] | None = None, optional: list[str] | None = None) -> list:
     """Stages that put the feature columns, chosen by name, into one vector.
 
     A missing value becomes a sentinel, with a flag column beside it, since the tree
-    learners take no missing values. Only columns that may be missing get a flag.
+    learners take no missing values. Only columns that may be missing get a flag: `optional`, or those of `optional_columns`.
     """
     columns = columns or feature_columns(df)
-    optional = [c for c in columns if df.schema[c].nullable]
+    optional = optional_columns(df, columns) if optional is None else optional
     values = [f"coalesce(cast(`{c}` as double), {MISSING}D) as `x_{c}`" for c in columns]
     flags = [f"cast(`{c}` is null as double) as `missing_{c}`" for c in optional]
     fill = SQLTransformer(statement=f"select *, {', '.join(values + flags)} from __THIS__")

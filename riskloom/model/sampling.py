@@ -9,18 +9,21 @@ from riskloom.functions.scalars import DRAWS, draw, draw_text
 from riskloom.operators.shaping import union_all
 
 _DIGITS = 4
+_LONGEST = 32  # digits of a draw
 _SORTABLE = 100_000
 
 
 def smallest_draws(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """Exactly the `n` rows with the smallest draws (all rows if fewer).
+    """Exactly the `n` rows with the smallest draws (all rows if fewer); a NULL key has the smallest draw of all.
 
-    No sort of the table: counting rows by the leading digits of the draw tells where
-    the n-th row lies. All groups before it are taken whole, and only the one group it
-    falls in is looked at more closely, until that is small enough to sort.
+    No sort of the table: counting rows by the leading digits of the draw tells where the n-th row lies, until the
+    group that it falls in is small enough to sort, or cannot be split further. What is left is one filter on the
+    draw and the key. Only if rows of one key straddle the cut are these settled by a hash of the whole row.
     """
-    drawn = rows.withColumn("_draw", draw_text(key, seed))
-    taken, open_part, left, digits = [], drawn, n, 0
+    if n <= 0:
+        return rows.limit(0)
+    drawn = rows.withColumn("_draw", F.coalesce(draw_text(key, seed), F.lit("")))
+    open_part, left, digits = drawn, n, 0
     while True:
         digits += _DIGITS
         lead = F.substring("_draw", 1, digits)
@@ -33,16 +36,20 @@ def smallest_draws(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
                 break
             left -= size["count"]
         if cut is None:
-            taken.append(open_part)
-            break
-        taken.append(open_part.where(lead < cut["_lead"]))
-        if left == 0:
-            break
+            return rows
         open_part = open_part.where(lead == cut["_lead"])
-        if cut["count"] <= _SORTABLE:
-            taken.append(open_part.orderBy("_draw", key).limit(left))
+        if left == 0:
+            return drawn.where(lead < cut["_lead"]).drop("_draw")
+        if cut["count"] <= _SORTABLE or digits >= _LONGEST:
             break
-    return union_all(*taken).drop("_draw")
+    place = [F.col("_draw"), F.col(key).asc_nulls_first()]
+    last = open_part.orderBy(*place).limit(left).select("_draw", key).tail(1)[0] if cut["count"] <= _SORTABLE else None
+    if last is not None and last[key] is not None:
+        before = (F.col("_draw") < last["_draw"]) | ((F.col("_draw") == last["_draw"]) & (F.col(key) <= last[key]))
+        if open_part.where(before).count() == left:
+            return drawn.where(before).drop("_draw")
+    straddling = open_part.orderBy(*place, F.xxhash64(*rows.columns)).limit(left)
+    return union_all(drawn.where(lead < cut["_lead"]), straddling).drop("_draw")
 
 
 def undersample(df: DataFrame, label: str = "is_risk", key: str = "rowkey", seed: int = 27) -> DataFrame:

@@ -63,10 +63,11 @@ def group(
     Spark multiplies the rows by the number of columns it counts different values of.
     Kept apart, that happens to the counted columns only; both sides end up laid out by
     the key, so the join moves nothing. `different_of` may name a narrower table for it.
+    Rows without key belong to no group.
     """
 
     def one(rows: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
-        return rows.groupBy(by).agg(*[a.alias(n) for n, a in aggregates.items()])
+        return rows.where(F.col(by).isNotNull()).groupBy(by).agg(*[a.alias(n) for n, a in aggregates.items()])
 
     rows = df if different_of is None else different_of
     if not different:
@@ -164,9 +165,12 @@ def logins_per_hour(df: DataFrame, time: str = "time", by: str = "id", key: str
 def row_of_max(df: DataFrame, by: list[str], value: str, tie: str, columns: list[str]) -> DataFrame:
     """Per group, the columns of the row with the largest value; the lowest `tie` among equals.
 
-    With an empty `by` the one row of the whole table.
+    With an empty `by` the one row of the whole table. `value` is a number; rows without it, or without a key, take
+    no part.
     """
-    # Equal largest values are settled inside the aggregate: no sort, no window.
+    # One pass: the smallest of (-value, tie) carries the row along. NaN counts as the largest value.
+    place = [F.isnan(value) == F.lit(False)] if df.schema[value].dataType.typeName() in ("double", "float") else []
     row = F.struct(*[F.col(c) for c in dict.fromkeys([tie, *columns])])
-    top = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.min(row).alias("_row"))
-    return top.groupBy(*by).agg(F.max_by("_row", "_v").alias("_row")).select(*by, *[f"_row.{c}" for c in columns])
+    known = df.where(" and ".join(f"`{c}` is not null" for c in [value, *by]))
+    top = known.groupBy(*by).agg(F.min_by(row, F.struct(*place, -F.col(value), F.col(tie))).alias("_row"))
+    return top.where(F.col("_row").isNotNull()).select(*by, *[f"_row.{c}" for c in columns])

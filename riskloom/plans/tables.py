@@ -15,15 +15,17 @@ V2_ROW = ["timelong", "is_scan", "is_sec", "login_diff_day", "login_diff_seconds
 V2_DROPPED = ["device", "log_from", "ip", "city", "result", "timestamp", "type"]
 
 
-def transfer_data(logins: DataFrame, trades: DataFrame, version: str = "v3", modulus: int = 1000) -> DataFrame:
+def transfer_data(
+    logins: DataFrame, trades: DataFrame, version: str = "v3", modulus: int = 1000, truncate_seconds: bool = False
+) -> DataFrame:
     """Model table V1 or V3: user features and trade features of every linked trade.
 
-    Trades without `login_id` are linked first. With `is_risk` this is the training
+    Trades without `login_id` are linked first, with `truncate_seconds` by their time cut to the second. With `is_risk` this is the training
     table, without it the table to score.
     """
     hot = hot_users(logins, trades)
     if "login_id" not in trades.columns:
-        trades = linked_trades(trades, logins, hot=hot)
+        trades = linked_trades(trades, logins, truncate_seconds, hot)
     users = user_features(logins, version, modulus)
     table = trade_features(trades, logins, version, users, hot)
     return to_front(table.drop("time"), "rowkey", "is_risk", "id")

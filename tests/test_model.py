@@ -86,3 +86,24 @@ def test_full_settings():
     full = estimators.boosted_trees(**estimators.FULL_MODEL)
     assert (full.getMaxIter(), full.getStepSize(), full.getMaxDepth()) == (1000, 0.3, 5)
     assert (full.getSubsamplingRate(), full.getFeatureSubsetStrategy(), full.getSeed()) == (0.8, "0.8", 27)
+
+
+def test_flags_of_a_stored_model_table(spark, sf):
+    from riskloom.catalog.registry import logins, trades
+    from riskloom.plans.tables import transfer_data
+
+    table = validation.stored(transfer_data(logins(spark, sf), trades(spark, sf), "v3", 10))
+    columns = estimators.feature_columns(table)
+    flagged = estimators.optional_columns(table, columns)
+    assert flagged and all(c.startswith("trade_time_sub_day") for c in flagged)
+
+
+def test_draws_of_missing_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "_SORTABLE", 5)
+    df = spark.createDataFrame([(None, i) for i in range(4)] + [(7, i) for i in range(30)] + [(8, 1)], "rowkey long, v int")
+    for n in (0, 1, 4, 5, 20, 33, 35, 50):
+        got = sampling.smallest_draws(df, n, "rowkey", 3)
+        assert got.columns == df.columns and got.count() == min(n, 35)
+        assert sorted(got.collect(), key=str) == sorted(sampling.smallest_draws(df.repartition(3), n, "rowkey", 3).collect(), key=str)
+    labelled = df.selectExpr("rowkey", "cast(v = 1 as int) as is_risk")
+    assert sampling.undersample(labelled).count() == 2 * labelled.where("is_risk = 1").count()

@@ -275,3 +275,11 @@ def test_shaping(spark):
     assert shaping.feature_columns(df, ("a",)) == ["b", "c"]
     both = joins.join_suffixed(df, df, ["a"])
     assert both.columns == ["a", "b_x", "c_x", "b_y", "c_y"]
+
+
+def test_rows_without_user_belong_to_no_group(spark):
+    df = spark.createDataFrame([(None, 1, 9.0), ("a", 2, 1.0), ("a", 3, float("nan"))], "id string, k long, v double")
+    assert rows(aggregates.row_of_max(df, ["id"], "v", "k", ["k"])) == [("a", 3)]
+    assert rows(aggregates.group(df, {"n": F.count("*")}, {})) == [("a", 2)]
+    assert rows(aggregates.group(df, {"n": F.count("*")}, {"d": F.count_distinct("k")})) == [("a", 2, 2)]
+    assert aggregates.row_of_max(df.where("false"), [], "v", "k", ["k"]).count() == 0
