@@ -47,13 +47,13 @@ def hot_keys(rows: DataFrame, by: list[str]) -> DataFrame | None:
     """The hot keys of `rows` with the number of pieces each should be cut into.
 
     One pass over the key columns, and a count of the rows where that finds large keys.
-    None when no key is hot. With an empty `by` the whole table counts as one key.
+    None when no key is hot. With an empty `by` the whole table counts as one hot key, however few its rows.
     """
     least, tasks = _limits(rows)
     sizes = [T.StructField(_COPIES, T.IntegerType(), False), T.StructField(_ROWS, T.LongType(), False)]
     if not by:
         n = rows.count()
-        if n < least or tasks < 2:
+        if n == 0 or tasks < 2:
             return None
         return rows.sparkSession.createDataFrame([(tasks, n)], T.StructType(sizes))
     found = (
@@ -67,7 +67,7 @@ def hot_keys(rows: DataFrame, by: list[str]) -> DataFrame | None:
     )
     if not found:
         return None
-    average = rows.count() / tasks
+    average = rows.count() / tasks  # fewer than `tasks` keys can exceed it, so the limit above loses none
     hot = [tuple(r[c] for c in by) + (math.ceil(r[_ROWS] / average), r[_ROWS]) for r in found if r[_ROWS] > average]
     if not hot:
         return None
