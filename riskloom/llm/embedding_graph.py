@@ -321,3 +321,19 @@ def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def op2_embedding_graph(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP2_SQL = """
+  WITH RECURSIVE valid AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+      ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+  reach AS (SELECT a AS v, a AS r FROM links UNION SELECT reach.v, links.b FROM reach JOIN links ON reach.r = links.a)
+  SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least_id, vec_id) AS component_id,
+    vec_id = coalesce(least_id, vec_id) AS kept
+  FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) d ON vec_id = d.a
+    LEFT JOIN (SELECT v, min(r) AS least_id FROM reach GROUP BY v) c ON vec_id = c.v"""

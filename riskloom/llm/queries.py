@@ -14,4 +14,4 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE: dict[str, str] = {"op7_warc": warc.OP7_SQL}
+ORACLE: dict[str, str] = {"op2_embedding_graph": embedding_graph.OP2_SQL, "op7_warc": warc.OP7_SQL}
