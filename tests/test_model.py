@@ -107,3 +107,23 @@ def test_draws_of_missing_and_repeated_keys(spark, monkeypatch):
         assert sorted(got.collect(), key=str) == sorted(sampling.smallest_draws(df.repartition(3), n, "rowkey", 3).collect(), key=str)
     labelled = df.selectExpr("rowkey", "cast(v = 1 as int) as is_risk")
     assert sampling.undersample(labelled).count() == 2 * labelled.where("is_risk = 1").count()
+
+
+def test_best_model_of_the_grid_predicts(spark, table):
+    _, best, model = validation.searched(small(table, 1), table, depths=(2, 3), rates=(0.3,), k=2)
+    assert best.count() == 1 and scoring.predict(model, table).count() == table.count()
+
+
+def test_v2_and_undersampled_tables_end_to_end(spark, sf):
+    from riskloom.plans.tables import trade_table_v2
+    from riskloom.plans.trade_features import linked_trades
+
+    seen, trade = fixtures.logins(spark, sf), fixtures.trades(spark, sf)
+    linked = linked_trades(trade, seen).select(*trade.columns, "login_id")
+    v2 = validation.stored(trade_table_v2(seen, linked))
+    model = scoring.fit(small(v2, 1), v2)
+    unlabelled = trade_table_v2(seen, linked.drop("is_risk"))
+    assert "is_risk" not in unlabelled.columns
+    assert scoring.predict(model, unlabelled).count() == unlabelled.count() == v2.count() > 0
+    even = validation.stored(sampling.undersample(v2))
+    assert scoring.predict(scoring.fit(small(even, 1), even), v2).count() == v2.count()
