@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskloom.sources import fixtures
 
-SLICE = 256  # rows that are Python objects at one time
+SLICE = 256  # rows whose results are Python objects at one time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -81,7 +81,7 @@ def with_columns_from_text(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                out = [work(t or "") for t in part.column(len(kept)).to_pylist()]
+                out = [work(t.as_py() or "") for t in part.column(len(kept))]  # one text at a time
                 made = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)]
                 fields = [*list(part.schema)[: len(kept)], *arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], schema=pa.schema(fields))
