@@ -50,13 +50,14 @@ def test_simhash(which, request):
     assert kept.columns == docs.columns and kept.count() == len(set(due))
 
 
-def test_small_tiles_and_planted_bits(spark):
+@pytest.mark.parametrize("lanes", [1, 4, 8, 16])
+def test_small_tiles_and_planted_bits(spark, lanes):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63 - 1, 60)
     flips = [int(b) ^ (1 << int(i)) for b in base[:30] for i in rng.integers(0, 63, 3)]
     prints = sorted({*map(int, base), *flips, 0, -1})
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    got = {r["fp"]: r["root"] for r in graph.components(simhash.links(df, tile=3), "a", "b").toDF("fp", "root").collect()}
+    got = {r["fp"]: r["root"] for r in graph.components(simhash.links(df, tile=3, lanes=lanes), "a", "b").toDF("fp", "root").collect()}
     n = [p & (2**64 - 1) for p in prints]
     linked = [(i, j) for i in range(len(n)) for j in range(i) if (n[i] ^ n[j]).bit_count() <= 2]
     due = classes(prints, linked)
