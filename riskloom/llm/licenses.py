@@ -13,7 +13,7 @@ empty texts. Rows are independent; every row with a match is reported, once per
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -46,9 +46,9 @@ TEMPLATES = [
 ]
 
 _WORD = re.compile(r"[^\W_]+")
-_PARAGRAPH = re.compile(r"(?:[^\n]|\n(?!\s*\n))+")
+_PARAGRAPH = re.compile(r"(?:[^\n]++|\n(?![^\S\n]*+\n))++")
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?!\s))+[.!?]?")
+_SENTENCE = re.compile(r"(?:[^.!?\n]++|[.!?](?!\s))++[.!?]?")
 
 
 def bigrams(text: str) -> list[tuple[str, str]]:
@@ -97,9 +97,10 @@ class Templates:
                 found.append((start + lead, start + len(text[start:end].rstrip()), best[1], best[0]))
         kept: list[tuple] = []
         for s in sorted(set(found), key=lambda x: (-x[3], x[1] - x[0], x[0])):
-            if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
-                kept.append(s)
-        return sorted(kept)
+            place = bisect_left(kept, s)  # kept ones do not overlap, so only the two neighbours matter
+            if (not place or kept[place - 1][1] <= s[0]) and (place == len(kept) or s[1] <= kept[place][0]):
+                insort(kept, s)
+        return kept
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice: float = DICE) -> DataFrame:

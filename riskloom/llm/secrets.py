@@ -21,7 +21,10 @@ import dataclasses
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ KINDS = ("assign", "access", "hex", "format")
 
 _RUN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
 _PLAIN = re.compile("[A-Za-z0-9+/_.=-]{6,}")
-_MIXED = re.compile("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _NAMED = re.compile("passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 
@@ -61,10 +64,17 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _touching(spans: list[tuple]) -> Callable[[int, int], bool]:
+    """Tells whether a stretch overlaps any of `spans`, which stand by start."""
+    starts, reach = [s[0] for s in spans], [0, *accumulate((s[1] for s in spans), max)]
+    return lambda start, end: reach[bisect_left(starts, end)] > start
+
+
 def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
     """(start, end, value) of the runs that no span in `taken` touches."""
-    runs = [(*m.span(), m[0]) for m in _RUN.finditer(text) if _MIXED.search(m[0])]
-    return [r for r in runs if not any(s[0] < r[1] and r[0] < s[1] for s in taken)]
+    touched = _touching(taken)
+    runs = (m for m in _RUN.finditer(text) if not touched(*m.span()))
+    return [(*m.span(), m[0]) for m in runs if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
 
 
 def _class(c: str) -> tuple[str, int]:
@@ -211,8 +221,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
 
     def words():
         def work(text: str) -> tuple:
-            taken = base_spans(text)
-            runs = {m[0] for m in _PLAIN.finditer(text) if not any(s[0] < m.end() and m.start() < s[1] for s in taken)}
+            touched = _touching(base_spans(text))
+            runs = {m[0] for m in _PLAIN.finditer(text) if not touched(*m.span())}
             return (sorted(runs, key=lambda r: hashlib.md5(r.encode()).digest())[:20],)
 
         return work
