@@ -33,8 +33,8 @@ from riskloom.llm.rows import documents, table, with_columns_from_text
 WORDS = 5
 OVERLAP = 0.8
 ANSWER = 0.5
-ITEMS = 5000
-BLOCK = 16
+ITEMS = 20_000
+BLOCKS, BLOCK = 64, 16  # blocks at most, items in one at least
 _K1, _B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.?!]+\s+")
@@ -68,7 +68,11 @@ class Item:
 
 
 class Index:
-    """BM25 weights of the items, per term, in blocks; bounded by `ITEMS`."""
+    """BM25 weights of the items, per term, in at most `BLOCKS` blocks.
+
+    The weights are kept as flat lists, a term's from `first[term]` to `first[term + 1]`, so that they take as much
+    room as the items' texts; only the block maxima are a matrix. Both are bounded by `ITEMS`.
+    """
 
     def __init__(self, items: list[Item], overlap: float = OVERLAP):
         self.items = sorted((i for i in items if i.words), key=lambda i: (len(i.words), str(i.item_id)))
@@ -78,38 +82,50 @@ class Index:
         self.number = {t: n for n, t in enumerate(sorted({t for c in counts for t in c}), 1)}  # 0: no item holds it
         n, mean = len(self.items), sum(len(i.words) for i in self.items) / max(1, len(self.items))
         holds = Counter(t for c in counts for t in c)
-        self.weights = np.zeros((len(self.number) + 1, n))
         self.threshold = np.zeros(n)
+        self.block = max(BLOCK, -(-n // BLOCKS))
+        self.largest = np.zeros((len(self.number) + 1, -(-n // self.block)))
+        postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.number) + 1)]
         for j, (item, count) in enumerate(zip(self.items, counts)):
             norm = _K1 * (1 - _B + _B * len(item.words) / mean)
+            own = []
             for t, f in count.items():
                 idf = math.log(1 + (n - holds[t] + 0.5) / (holds[t] + 0.5))
-                self.weights[self.number[t], j] = idf * f * (_K1 + 1) / (f + norm)
+                own.append(idf * f * (_K1 + 1) / (f + norm))
+                postings[self.number[t]].append((j, own[-1]))
+                top = self.largest[self.number[t]]
+                top[j // self.block] = max(own[-1], top[j // self.block])
             lacking = math.floor((1 - overlap) * len(item.shingles) + 1e-9) if len(item.words) >= WORDS else 0
             lacking += max(0, len(shingles(item.words)) - len(item.shingles))  # repeated shingles may go together
-            own = np.sort(self.weights[:, j])
-            self.threshold[j] = own.sum() - own[len(own) - lacking :].sum() - 1e-9
-        blocks = range(0, n, BLOCK)
-        self.largest = np.stack([self.weights[:, b : b + BLOCK].max(axis=1) for b in blocks], 1) if n else np.zeros((1, 0))
-        self.lowest = np.array([self.threshold[b : b + BLOCK].min() for b in blocks])
+            own.sort()
+            self.threshold[j] = sum(own[: max(0, len(own) - lacking)]) - 1e-9
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in postings])]).astype(np.int64)
+        self.place = np.array([j for x in postings for j, _ in x], np.int64)
+        self.weight = np.array([w for x in postings for _, w in x], float)
+        self.lowest = np.array([self.threshold[b : b + self.block].min() for b in range(0, n, self.block)])
 
     def _blocks(self, terms: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(self.largest[terms].sum(axis=0) >= self.lowest)
+        """Which blocks to open: those whose bound for `terms` reaches their lowest threshold."""
+        return self.largest[terms].sum(axis=0) >= self.lowest
 
     def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """(item, BM25) of every item at or above its threshold for the different `terms`."""
-        out = []
-        for b in self._blocks(terms):
-            scores = self.weights[terms, b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-            out += [(b * BLOCK + j, float(scores[j])) for j in np.flatnonzero(scores >= self.threshold[b * BLOCK : (b + 1) * BLOCK])]
-        return out
+        opened = self._blocks(terms)
+        if not opened.any():
+            return []
+        lengths = self.first[terms + 1] - self.first[terms]
+        at = np.arange(lengths.sum()) + np.repeat(self.first[terms] - np.cumsum(lengths) + lengths, lengths)
+        at = at[opened[self.place[at] // self.block]]
+        scores = np.bincount(self.place[at], weights=self.weight[at], minlength=len(self.items))
+        # An item without any weight (all its words may lack) is no find of an index.
+        return [(int(j), float(scores[j])) for j in np.flatnonzero((scores > 0) & (scores >= self.threshold))]
 
     def matches(self, text: str) -> list[tuple]:
         """(item_id, passage, bm25, overlap, question_overlap, answer_overlap) of the verified items, best passage each."""
         words = words_of(text)
         number = self.number.get
         terms = np.fromiter((number(w, 0) for w in words), np.int32, len(words))
-        if not len(words) or not self.items or not len(self._blocks(_different(terms))):
+        if not len(words) or not self.items or not self._blocks(_different(terms)).any():
             return []
         best: dict[int, tuple] = {}
         span = self.longest
