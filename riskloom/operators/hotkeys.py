@@ -4,10 +4,12 @@ Grouped aggregates need nothing of this: they are combined before the shuffle. W
 needs it is work that brings all rows of a key together, which is a join onto the
 rows of a key, and anything ordered within a key.
 
-A key is hot when it holds more rows than an average task would get, and at least
-`spark.riskloom.hotKeyRows` rows. With P shuffle partitions there are fewer than P
-such keys, and cut down to the size of an average task they make fewer than 2 P
-pieces; this bounds every list and every broadcast below, whatever the table's size.
+A key is hot when it holds more than `spark.riskloom.hotKeyTasks` times the rows that an
+average task would get (5, as for adaptive skew joins: below that the extra passes cost
+more than the straggler), and at least `spark.riskloom.hotKeyRows` rows. With P shuffle
+partitions there are fewer than P such keys, and cut down to the size of an average task
+they make fewer than 2 P pieces; this bounds every list and every broadcast below,
+whatever the table's size.
 
 How the pieces are cut changes where rows are worked on, never the result.
 """
@@ -24,6 +26,8 @@ from pyspark.sql import types as T
 
 HOT_ROWS_CONF = "spark.riskloom.hotKeyRows"
 DEFAULT_HOT_ROWS = 1_000_000
+HOT_TASKS_CONF = "spark.riskloom.hotKeyTasks"
+DEFAULT_HOT_TASKS = 5.0
 SAMPLES_PER_PIECE = 64
 
 LANE = "_lane"
@@ -38,37 +42,32 @@ def known(by: list[str]) -> Column:
     return reduce(and_, [F.col(c).isNotNull() for c in by], F.lit(True))
 
 
-def _limits(df: DataFrame) -> tuple[int, int]:
+def _limits(df: DataFrame) -> tuple[int, float, int]:
     conf = df.sparkSession.conf
-    return int(conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))), int(conf.get("spark.sql.shuffle.partitions"))
+    least = int(conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
+    return least, float(conf.get(HOT_TASKS_CONF, str(DEFAULT_HOT_TASKS))), int(conf.get("spark.sql.shuffle.partitions"))
 
 
 def hot_keys(rows: DataFrame, by: list[str]) -> DataFrame | None:
     """The hot keys of `rows` with the number of pieces each should be cut into.
 
-    One pass over the key columns, and a count of the rows where that finds large keys.
+    One pass over the key columns gives the counts, their total and thus the average task.
     None when no key is hot. With an empty `by` the whole table counts as one hot key, however few its rows.
     """
-    least, tasks = _limits(rows)
+    least, multiple, tasks = _limits(rows)
     sizes = [T.StructField(_COPIES, T.IntegerType(), False), T.StructField(_ROWS, T.LongType(), False)]
     if not by:
         n = rows.count()
         if n == 0 or tasks < 2:
             return None
         return rows.sparkSession.createDataFrame([(tasks, n)], T.StructType(sizes))
-    found = (
-        rows.where(known(by))
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias(_ROWS))
-        .where(F.col(_ROWS) >= least)
-        .orderBy(F.desc(_ROWS))
-        .limit(tasks)
-        .collect()
-    )
-    if not found:
-        return None
-    average = rows.count() / tasks  # fewer than `tasks` keys can exceed it, so the limit above loses none
-    hot = [tuple(r[c] for c in by) + (math.ceil(r[_ROWS] / average), r[_ROWS]) for r in found if r[_ROWS] > average]
+    counts = rows.where(known(by)).groupBy(*by).agg(F.count(F.lit(1)).alias(_ROWS))
+    average = counts.agg(F.sum(_ROWS) / tasks).scalar()  # of the same shuffle; fewer than `tasks` keys exceed it
+    found = counts.where((F.col(_ROWS) >= least) & (F.col(_ROWS) > multiple * average) & (F.col(_ROWS) > average))
+    hot = [
+        tuple(r[c] for c in by) + (math.ceil(r[_ROWS] / r["_average"]), r[_ROWS])
+        for r in found.withColumn("_average", average).collect()
+    ]
     if not hot:
         return None
     fields = [T.StructField(c, rows.schema[c].dataType, True) for c in by]
@@ -82,14 +81,16 @@ def attach(
 
     `hot` takes the result of `hot_keys(rows, by)`; True works it out here. The rows
     of a hot key are dealt out over its pieces, and the key's one row is copied to
-    each. The rows are dealt by their content, so a re-run task deals them alike.
+    each. The rows are dealt by their content, so a re-run task deals them alike. In a left
+    join rows without key, which match nothing, are dealt over all tasks as well.
     """
     if hot is True:
         hot = hot_keys(rows, by)
     if hot is None:
         return rows.join(per_key, by, how)
     hot = F.broadcast(hot.drop(_ROWS))
-    dealt = F.when(F.col(_COPIES).isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col(_COPIES)).cast("int"))
+    pieces = F.coalesce(F.col(_COPIES), F.when(~known(by), F.lit(_limits(rows)[2])))
+    dealt = F.pmod(F.xxhash64(*rows.columns), pieces).cast("int")
     left = rows.join(hot, by, "left").withColumn(LANE, F.coalesce(dealt, F.lit(0))).drop(_COPIES)
     lanes = F.sequence(F.lit(0), F.coalesce(F.col(_COPIES), F.lit(1)) - 1)
     right = per_key.join(hot, by, "left").withColumn(LANE, F.explode(lanes)).drop(_COPIES)

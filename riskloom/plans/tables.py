@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.hotkeys import attach, hot_keys
+from riskloom.operators.joins import link_asof
 from riskloom.operators.shaping import to_front
-from riskloom.plans.trade_features import hot_users, linked_trades, trade_features, trade_gaps_v2
+from riskloom.plans.trade_features import LINK_COLUMNS, hot_users, linked_trades, trade_features, trade_gaps_v2
 from riskloom.plans.user_features import login_gaps, user_features, user_features_v2
 
 # Login columns that a V2 model row keeps.
@@ -25,7 +26,11 @@ def transfer_data(
     """
     hot = hot_users(logins, trades)
     if "login_id" not in trades.columns:
-        trades = linked_trades(trades, logins, truncate_seconds, hot)
+        # Read once, unless hot pairs are counted as well.
+        if hot is None:
+            trades = link_asof(trades, logins, LINK_COLUMNS, truncate_seconds=truncate_seconds, hot=None)
+        else:
+            trades = linked_trades(trades, logins, truncate_seconds, hot)
     users = user_features(logins, version, modulus)
     table = trade_features(trades, logins, version, users, hot)
     return to_front(table.drop("time"), "rowkey", "is_risk", "id")

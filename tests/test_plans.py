@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import hotkeys
 from riskloom.operators.hotkeys import HOT_ROWS_CONF
 from riskloom.operators.joins import link_asof
 from riskloom.operators.ordered import with_gap
@@ -76,6 +77,25 @@ def test_number_of_shuffles(spark, sf, no_hot):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_hot_means_several_tasks(spark):
+    rows = spark.range(800).selectExpr("IF(id < 300, 7, id) AS id")
+    spark.conf.set(HOT_ROWS_CONF, "5")
+    try:
+        assert [tuple(r) for r in hotkeys.hot_keys(rows, ["id"]).collect()] == [(7, 3, 300)]
+        spark.conf.set(hotkeys.HOT_TASKS_CONF, "5")
+        assert hotkeys.hot_keys(rows, ["id"]) is None
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+        spark.conf.set(hotkeys.HOT_TASKS_CONF, "1")
+
+
+def test_left_attach_keeps_rows_without_key(spark, small_hot):
+    rows = spark.range(400).selectExpr("IF(id < 150, NULL, IF(id < 300, 7, id)) AS id", "id AS n")
+    per_key = spark.createDataFrame([(7, "a"), (350, "b")], "id long, v string")
+    got = hotkeys.attach(rows, per_key, ["id"], "left")
+    assert got.count() == 400 and got.where("v = 'a'").count() == 150 and got.where("id is null and v is null").count() == 150
+
+
 def test_scan_reads_only_needed_columns(spark, sf):
     plan = user_features(fixtures.logins(spark, sf), "v3")._jdf.queryExecution().executedPlan().toString()
     assert "event_id" not in plan and "IsNotNull(user_id)" in plan
