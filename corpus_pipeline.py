@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, decontamination, secrets, simhash, toxicity
+from riskloom.llm import byte_bpe, decontamination, near_copies, secrets, toxicity
 from riskloom.llm.rows import documents, table
 from riskloom.session import freeze
 
@@ -23,8 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies: the one with the smallest id.
+
+    Near copies have five-word shingles of Jaccard 0.8 or more, or SimHashes as close as op4's.
+    """
+    return near_copies.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,146 @@
+"""Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard coefficient of 0.8 or more.
+
+Candidates come from min-hashes: `BANDS` bands of `ROWS` hashes each; a pair of coefficient s meets in none of them
+with probability (1 - s ** ROWS) ** BANDS, which is 3e-6 at 0.8 and less above. Every candidate is verified by the
+exact coefficient of its two sets, so a pair below 0.8 is never linked. In each bucket all members are compared with
+the smallest first; what that leaves apart is compared pair by pair across the components found, so a group of
+n copies costs about n comparisons, not their square, and no pair of a bucket is left out unless it is connected
+already or its sizes alone rule 0.8 out. Texts of one set are one node.
+
+`deduplicate` adds the links of `simhash` (op4's settings), so that whatever that stage dropped is still dropped. Words are
+those of `simhash.fingerprint`; a text of fewer than five words is one shingle, one without words has none.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskloom.llm import simhash
+from riskloom.llm.graph import components
+from riskloom.llm.rows import with_columns_from_text
+from riskloom.session import freeze
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 24
+ROWS = 4
+_RUN = 4096  # shingles hashed at one time
+_ODD, _ADD = (np.random.default_rng(simhash.SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.uint64(1))
+_POWERS = np.cumprod(np.full(WORDS, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted different 64-bit hashes of the word shingles."""
+    tokens = text.encode().lower().split()
+    digest = xxhash.xxh3_64_intdigest
+    words = np.array([digest(t) for t in tokens], np.uint64)
+    n = max(min(len(words), 1), len(words) - WORDS + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(min(WORDS, len(words))):
+        total += words[k : k + n] * _POWERS[k]
+    return np.unique(_mixed(total))
+
+
+def bands(held: np.ndarray) -> np.ndarray:
+    """A key per band of min-hashes; none for an empty set."""
+    if not len(held):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(held), _RUN):
+        least = np.minimum(least, (held[at : at + _RUN, None] * _ODD + _ADD).min(axis=0))
+    folded = np.arange(BANDS, dtype=np.uint64)
+    for column in _mixed(least).reshape(BANDS, ROWS).T:
+        folded = _mixed(folded * _POWERS[0] + column)
+    return folded.view(np.int64)
+
+
+def _features():
+    def work(text: str) -> tuple:
+        held, fp = shingles(text), simhash.fingerprint(text)
+        node = xxhash.xxh3_64_intdigest(held.tobytes())
+        return [x - (1 << 64) if x >> 63 else x for x in (fp, node)] + [len(held), bands(held)]
+
+    return work
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the similarity."""
+
+    def verify(batches):
+        for batch in batches:
+            a, b, left, right = batch.columns
+            stay = []
+            for i in range(batch.num_rows):
+                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                stay.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("held").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("held").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+
+
+def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the nodes connected by steps of the similarity.
+
+    nodes: node, n, bands; texts: node, text of at least those nodes, a row each.
+    """
+    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("all"))
+    members = freeze(members.join(shared.where("all > 1").select("bucket", "lead"), "bucket"), "buckets")
+
+    def make():
+        return lambda text: (shingles(text).view(np.int64),)
+
+    met = texts.join(members.select("node").distinct(), "node", "left_semi")
+    sets = freeze(with_columns_from_text(met, make, "held array<long>", ["node"]), "sets")
+    fits = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m") - 1e-9
+    first = members.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "n", F.col("lead.n").alias("m"))
+    first = freeze(first.where(fits & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "pairs")
+    stars = freeze(_similar(first, sets), "links")
+
+    named = members.join(components(stars, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = named.groupBy("bucket", "root").agg(F.collect_list(F.struct("node", "n")).alias("held"))
+    several = parts.groupBy("bucket").agg(F.count("*").alias("roots")).where("roots > 1").select("bucket")
+    parts = freeze(parts.join(several, "bucket", "left_semi"), "parts")
+    others = parts.select("bucket", F.col("root").alias("root2"), F.col("held").alias("held2"))
+    apart = parts.join(others, "bucket").where("root < root2")
+    apart = apart.select(F.explode("held").alias("x"), "held2").select("x", F.explode("held2").alias("y"))
+    apart = apart.select(F.col("x.n").alias("n"), F.col("y.n").alias("m"), *[f("x.node", "y.node").alias(c) for c, f in (("a", F.least), ("b", F.greatest))])
+    second = apart.where(fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    return stars.union(_similar(second, sets))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each group: that with the smallest id (rows without id last, then by content)."""
+    kept, row = docs.columns, ["__none", "__id", "__row"]
+    keys = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id")]
+    marked = docs.select(*kept, *keys, F.xxhash64(*kept).alias("__row"))
+    fields = "__fp long, __node long, __n int, __bands array<long>"
+    prints = freeze(with_columns_from_text(marked, _features, fields, row), "features")
+    prints = prints.select(*row, *[F.col(f"__{c}").alias(c) for c in ("fp", "node", "n", "bands")])
+    nodes = prints.groupBy("node").agg(F.min(F.struct(*row)).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = freeze(nodes, "nodes")
+    heads = nodes.select("node", "head.*")
+    text = marked.dropDuplicates(row).select(*row, "text").join(heads, row).select("node", "text")
+    shingled = links(nodes.select("node", "n", "bands"), text)
+
+    seen = freeze(prints.select("fp", "node").distinct(), "seen")
+    roots = seen.join(simhash.groups(seen.select("fp").distinct()), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    hashed = roots.select("node", "root").join(roots.groupBy("root").agg(F.min("node").alias("least")), "root")
+    edges = shingled.union(hashed.where("node <> least").select("least", "node"))
+    found = components(freeze(edges, "edges"), "a", "b").withColumnRenamed("root", "group")
+    stay = heads.join(found, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min(F.struct(*row)).alias("head"))
+    left = marked.join(stay.select("head.*"), row, "left_semi")
+    return left.dropDuplicates(row).select(*kept)

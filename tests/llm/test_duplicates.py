@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskloom.llm import embedding_graph, graph, simhash
 
 
@@ -64,6 +65,33 @@ def test_small_tiles_and_planted_bits(spark, lanes):
     assert [got.get(p, p) for p in prints] == due
 
 
+def word_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+def test_edited_copies_leave_the_pipeline(spark, small):
+    """Copies with one and three changed words; any pair of 0.8 is found, no pair below is."""
+    rng = np.random.default_rng(6)
+    rows, k = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()], 10**6
+    for _, text in rows[:150]:
+        words = (text or "").split()
+        for changes in (1, 3) if 50 <= len(words) <= 1000 else ():
+            edited = list(words)
+            for at in rng.choice(len(words), changes, replace=False):
+                edited[at] = f"changed{k}"
+            rows.append((k := k + 1, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [word_sets(t) for _, t in rows]
+    prints = [plain_print(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 2 for i, j in near) > 50  # SimHash alone leaves these
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    due = sorted(set(classes([i for i, _ in rows], near + close)))
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == due
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (None, 1), (61, 60)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(edges, "a", "b").collect()}
