@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples.
 
 `fit` learns in Spark: a bounded sample of labelled texts (`Settings.examples` per label, by hash of the id) gives
-the candidate terms (with half the lift below) and the examples. Over all labelled training rows (near copies of one label count once) each candidate term is counted by label, over
+the candidate terms (with half the lift below) and the examples. Over all labelled training rows (copies, of the same terms in the same order and of one label, count once) each candidate term is counted by label, over
 all documents for its document frequency; a term is used if toxic rows hold it more often, by a log-likelihood
 ratio (G) of at least `Settings.least_ratio`, and at least `Settings.lift` times as often as other rows: evidence
 alone grows with the rows, so that at some size any common word would do. Examples become TF-IDF vectors of unit length over these terms.
@@ -27,6 +27,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ class Model:
 
 
 def _examples(docs: DataFrame, train: DataFrame, settings: Settings) -> list:
-    """(id, toxic, {term: count}) of the sample: a bounded number of rows."""
+    """(id, toxic, {term: count}, sign) of the sample: a bounded number of rows."""
     chosen = []
     for label in (0, 1):
         rows = train.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.examples)
@@ -135,12 +136,16 @@ def _examples(docs: DataFrame, train: DataFrame, settings: Settings) -> list:
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int"))
 
     def make():
-        return lambda text: (dict(Counter(terms_of(text))),)
+        def work(text: str) -> tuple:
+            terms = terms_of(text)
+            return dict(Counter(terms)), _sign(terms)
+
+        return work
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    counted = with_columns_from_text(texts, make, "counts map<string,int>", ["doc_id", "toxic"])
+    counted = with_columns_from_text(texts, make, "counts map<string,int>, sign string", ["doc_id", "toxic"])
     counted = counted.withColumn("n", F.row_number().over(_first_of("doc_id", "counts"))).where("n = 1")
-    return [(r["doc_id"], r["toxic"], r["counts"]) for r in counted.collect()]
+    return [(r["doc_id"], r["toxic"], r["counts"], r["sign"]) for r in counted.collect()]
 
 
 def _first_of(key: str, counts: str):
@@ -156,32 +161,29 @@ def _ratio(*cells: int) -> float:
     return 2 * sum(o * math.log(o * (a + b + c + d) / e) for o, e in zip(cells, expected) if o)
 
 
-def _sign(numbers: list[int]) -> int | None:
-    """Three min-hashes of a set of term numbers as one value; none for sets of fewer than ten."""
-    if len(numbers) < 10:
-        return None
-    least = [min(n * odd & 0xFFFFFFFF for n in numbers) for odd in (2654435761, 2246822519, 3266489917)]
-    return (least[0] << 32 ^ least[1] << 16 ^ least[2]) & 0x7FFFFFFFFFFFFFFF
+def _sign(terms: list[str]) -> str | None:
+    """A 128-bit digest of all terms in their order: equal for copies only. None for a text without terms."""
+    return xxhash.xxh3_128_hexdigest(" ".join(terms).encode("utf-8", "surrogatepass")) if terms else None
 
 
 def _features(docs: DataFrame, number: dict[str, int], wanted: set[int], keep: list[str]) -> DataFrame:
-    """The wanted terms that each text holds, and the sign of all numbered ones."""
-    shared = docs.sparkSession.sparkContext.broadcast((number, wanted))
+    """The wanted terms that each text holds, and its sign."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: n for t, n in number.items() if n in wanted})
 
     def make():
-        number, wanted = shared.value
+        number = shared.value
 
         def work(text: str) -> tuple:
-            held = [number[t] for t in set(terms_of(text)) & number.keys()]
-            return [n for n in held if n in wanted], _sign(held)
+            terms = terms_of(text)
+            return [number[t] for t in set(terms) & number.keys()], _sign(terms)
 
         return work
 
-    return with_columns_from_text(docs, make, "terms array<int>, sign long", keep)
+    return with_columns_from_text(docs, make, "terms array<int>, sign string", keep)
 
 
 def _one_of_each(labelled: DataFrame) -> DataFrame:
-    """One row of each label for near copies, that is for rows of one sign.
+    """One row of each label for copies, that is for rows of one sign.
 
     A text that is there a thousand times is one observation, or all its words would look typical of its label.
     """
@@ -195,11 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     examples = _examples(docs, train, settings)
     if not examples:
         return Model(settings, {}, [], (1.0, 1.0), 0.0)
-    frequency = Counter(t for _, _, counts in examples for t in counts)
+    frequency = Counter(t for _, _, counts, _ in examples for t in counts)
     vocabulary = sorted(t for t, n in frequency.items() if n >= settings.least)
     number = {t: i for i, t in enumerate(vocabulary)}
     # Copies among the examples count once as well; terms without half the lift there are not counted further.
-    single = {(y, _sign([number[t] for t in c if t in number]) or f"id {i}"): c for i, y, c in examples}
+    single = {(y, sign or f"id {i}"): c for i, y, c, sign in examples}
     seen = {label: Counter(t for (y, _), c in single.items() if y == label for t in c) for label in (0, 1)}
     rows = Counter(y for y, _ in single)
     wanted = {number[t] for t in vocabulary if seen[1][t] * rows[0] >= settings.lift / 2 * seen[0][t] * rows[1]}
@@ -221,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     mask = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(used)])) if used else F.lit(False)
     bare = labelled.where(~mask).agg(F.count("*"), F.sum("toxic")).first()
     prior = ((bare[1] or 0) + n1 / (n1 + n0)) / (bare[0] + 1)
-    sampled = Counter(y for _, y, _ in examples)
+    sampled = Counter(y for _, y, _, _ in examples)
     weight = (n0 / sampled[0] if sampled[0] else 1.0, n1 / sampled[1] if sampled[1] else 1.0)
-    return Model(settings, idf, examples, weight, prior)
+    return Model(settings, idf, [e[:3] for e in examples], weight, prior)
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, evidence: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import decontamination, licenses, secrets, toxicity, warc
@@ -131,6 +132,15 @@ def test_toxicity_accuracy_and_edges(spark, odd, nothing):
     assert {r["score"] for r in toxicity.score_documents(odd, toxicity.fit(odd, bare)).collect()} == {0.0}
 
 
+def test_only_copies_count_once(spark):
+    """Unlike texts that share their first term stay apart; copies of one label are one row."""
+    texts = [" ".join(["0", *(f"w{i}x{k}" for k in range(12))]) for i in range(20)] + ["0 Twice, told."] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    number = {t: i for i, t in enumerate(sorted({t for x in texts for t in toxicity.terms_of(x)}))}
+    features = toxicity._features(docs, number, set(number.values()), ["doc_id"]).withColumn("toxic", F.lit(0))
+    assert toxicity._one_of_each(features).count() == 21
+
+
 def test_archives(spark, tmp_path):
     big = "é" * 500_000
     rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (3, None, big), (4, "u\r\nx", big), (5, "u", None), (6, "u", ""), (None, None, "only"), (7, "u", "\r\n\r\n")]
