@@ -1,10 +1,11 @@
 """Toxicity scores from the nearest labelled examples.
 
 `fit` learns in Spark: a bounded sample of labelled texts (`Settings.examples` per label, by hash of the id) gives
-the candidate terms (with half the lift below) and the examples. Over all labelled training rows (copies, of the same terms in the same order and of one label, count once) each candidate term is counted by label, over
-all documents for its document frequency; a term is used if toxic rows hold it more often, by a log-likelihood
-ratio (G) of at least `Settings.least_ratio`, and at least `Settings.lift` times as often as other rows: evidence
-alone grows with the rows, so that at some size any common word would do. Examples become TF-IDF vectors of unit length over these terms.
+the candidate terms (with half the lift below) and the examples. Over all labelled training rows (copies, of the
+same terms in the same order and of one label, count once) each candidate term is counted by label, over all
+documents for its document frequency; a term is used if a lower confidence bound of its lift (how many times as often
+toxic rows hold it) reaches `Settings.lift`. The bound nears the lift itself as rows grow, so neither do small tables need
+more than their rows can show, nor will any common word do in large ones. Examples become TF-IDF vectors of unit length over these terms.
 
 Scoring finds the `k` examples of highest cosine exactly. Example numbers are cut into blocks; the index holds, per
 term and block, the postings and their largest weight. Blocks are visited in falling order of the bound that these
@@ -40,9 +41,9 @@ _TERM = re.compile(r"[^\W_]+")
 @dataclasses.dataclass(frozen=True)
 class Settings:
     examples: int = 1500  # labelled texts per label at most
-    least: int = 5  # a candidate term is in so many of them
-    least_ratio: float = 40.0
-    lift: float = 3.0
+    least: int = 2  # a candidate term is in so many of them
+    lift: float = 4.0  # lower bound of how many times as often toxic rows hold a term
+    deviations: float = 2.0  # standard deviations from the estimate down to that bound
     k: int = 15
     prior_weight: float = 1.0
     block: int = 64
@@ -154,11 +155,14 @@ def _first_of(key: str, counts: str):
     return Window.partitionBy(key).orderBy(F.xxhash64(F.array_sort(F.map_keys(counts))))
 
 
-def _ratio(*cells: int) -> float:
-    """G of a two by two table: with and without the term, in toxic and in other rows."""
-    a, b, c, d = cells
-    expected = [(a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)]
-    return 2 * sum(o * math.log(o * (a + b + c + d) / e) for o, e in zip(cells, expected) if o)
+def _least_lift(a: int, b: int, n1: int, n0: int, deviations: float) -> float:
+    """Lower confidence bound of a term's lift: held by `a` of `n1` toxic and `b` of `n0` other rows, smoothed by half a row.
+
+    It nears the lift itself as rows grow, so what it demands of a term does not rise with the table.
+    """
+    ratio = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+    spread = math.sqrt(max(0.0, 1 / (a + 0.5) - 1 / (n1 + 1) + 1 / (b + 0.5) - 1 / (n0 + 1)))
+    return math.exp(ratio - deviations * spread)
 
 
 def _sign(terms: list[str]) -> str | None:
@@ -217,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     used = set()
     for r in by_label.collect():
         a, b = r["a"], r["both"] - r["a"]
-        if a * n0 >= settings.lift * b * n1 and _ratio(a, b, n1 - a, n0 - b) >= settings.least_ratio:
+        if _least_lift(a, b, n1, n0, settings.deviations) >= settings.lift:
             used.add(r["term"])
     idf = {vocabulary[r["term"]]: math.log((1 + n_docs) / (1 + r["n"])) + 1 for r in counted if r["term"] in used}
     mask = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(used)])) if used else F.lit(False)

@@ -132,6 +132,16 @@ def test_toxicity_accuracy_and_edges(spark, odd, nothing):
     assert {r["score"] for r in toxicity.score_documents(odd, toxicity.fit(odd, bare)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("share, least", [(1, 86), (10, 54)])
+def test_toxic_recall(spark, share, least):
+    """Toxic held-out texts found, of 97, learning from all labels and from a tenth of them."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id") & (F.col("doc_id") % share == 0)))
+    toxic = docs.join(labels.where(toxicity.held_out("doc_id") & (F.col("toxic") == 1)).select("doc_id"), "doc_id")
+    assert toxicity.score_documents(toxic, model, ["doc_id"]).where("predicted = 1").count() >= least
+
+
 def test_only_copies_count_once(spark):
     """Unlike texts that share their first term stay apart; copies of one label are one row."""
     texts = [" ".join(["0", *(f"w{i}x{k}" for k in range(12))]) for i in range(20)] + ["0 Twice, told."] * 2
