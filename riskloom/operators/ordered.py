@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import clock
 from riskloom.operators.hotkeys import LANE, known, only_hot, with_lanes
+from riskloom.session import freeze
 
 _PREVIOUS = "_previous"
 _CARRY = "_carry"
+_AT = "_at_row"
+_RANGE = "_range"
+_FROM = "_from_row"
+_PLACES = (1 << 33) - 1  # bits of a generated id that count within a partition
 
 
 def with_previous(
@@ -127,3 +132,27 @@ def running_total(
 
     drop = [f"_{k}_{new}" for k in ("here", "from") for new in columns]
     return out.withColumns({new: total(new) for new in columns}).drop(*drop, LANE)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Add the place of each row within its key along `order`, from 0; rows without a key form groups of their own.
+
+    The rows are written once, cut into ranges of [*by, *order] and sorted: a row's place within its range comes
+    with the writing, and one small table of the ranges' sizes tells what stands before each. So neither the whole
+    table nor a large key is ordered in one task, and a hot key simply covers several ranges. Rows equal in all of
+    `order` share a range and stand in any order, so end it in something unique. Cutting the ranges samples `rows`, a pass of its own.
+    """
+    keys = [*by, *order]
+    placed = rows.repartitionByRange(*[F.col(c) for c in keys]).sortWithinPartitions(*keys)
+    placed = freeze(placed.withColumn(_AT, F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn(_RANGE, F.shiftright(_AT, 33))
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = placed.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(_RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_FROM))
+    place = F.col(_FROM) + F.col(_AT).bitwiseAND(F.lit(_PLACES))
+    out = placed.join(F.broadcast(sizes), _RANGE).withColumn(name, place).drop(_RANGE, _AT, _FROM)
+    if not by:
+        return out
+    first = out.groupBy(*[F.col(c).alias(f"_key_{c}") for c in by]).agg(F.min(name).alias(_FROM))
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]
+    return out.join(first, same).withColumn(name, F.col(name) - F.col(_FROM)).drop(_FROM, *[f"_key_{c}" for c in by])
