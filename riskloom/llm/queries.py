@@ -1,6 +1,8 @@
 """The queries of this subpackage and the SQL to check them against, by name."""
 
-from riskloom.llm import byte_bpe, decontamination, embedding_graph, licenses, secrets, simhash, token_counts, token_files, toxicity, warc
+from riskloom.llm import (
+    byte_bpe, decontamination, divergence, embedding_graph, licenses, secrets, simhash, token_counts, token_files, toxicity, warc,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,5 +15,10 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_source_divergence": divergence.op11_source_divergence,
+}
+ORACLE: dict[str, str] = {
+    "op2_embedding_graph": embedding_graph.OP2_SQL,
+    "op7_warc": warc.OP7_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }
-ORACLE: dict[str, str] = {"op2_embedding_graph": embedding_graph.OP2_SQL, "op7_warc": warc.OP7_SQL}
