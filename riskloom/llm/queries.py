@@ -1,7 +1,8 @@
 """The queries of this subpackage and the SQL to check them against, by name."""
 
 from riskloom.llm import (
-    byte_bpe, decontamination, divergence, embedding_graph, licenses, secrets, simhash, token_counts, token_files, toxicity, warc,
+    alignment, byte_bpe, decontamination, divergence, embedding_graph, licenses, secrets, simhash, token_counts, token_files, toxicity,
+    warc, word_bpe,
 )
 
 QUERIES = {
@@ -16,6 +17,8 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_word_bpe": word_bpe.op12_word_bpe,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLE: dict[str, str] = {
     "op2_embedding_graph": embedding_graph.OP2_SQL,

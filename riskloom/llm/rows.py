@@ -30,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # White_Space of Unicode, as the tokenizer patterns mean it (Python's \s has four more).
-_SPACE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+SPACE = "\t-\r \x85\xa0  -     　"
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 def pieces_of(text: str) -> list[str]:
