@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog.registry import MODULUS, logins, query, rounded, sql, table, trades
 from riskloom.operators import aggregates as agg
-from riskloom.operators import explore, joins
+from riskloom.operators import explore, joins, sketches
+from riskloom.session import freeze
 from riskloom.sources.fixtures import test_part, train_part
 
 
@@ -19,6 +20,24 @@ def a2(spark, d):
     return agg.aggregate(logins(spark, d), names, "nunique").withColumnsRenamed({f"{c}_nunique": f"{c}_Counts" for c in names})
 
 
+@query(
+    "a2_sketched_counts",
+    sql(
+        """SELECT id, count(DISTINCT CAST(login_time AS DATE)) AS days, true AS ip_within, true AS log_id_within
+        FROM login GROUP BY id""",
+        "login",
+    ),
+)
+def a2_sketched(spark, d):
+    """Sketches per user and day, stored and merged; whether the estimates keep to their error bound of the exact counts."""
+    login, names = logins(spark, d), ["ip", "log_id"]
+    estimated = sketches.merged_counts(freeze(sketches.daily_sketches(login, names), "sketches"), names)
+    exact = agg.aggregate(login, names, "nunique")
+    bound = sketches.relative_error()
+    within = {f"{c}_within": F.abs(F.col(f"{c}_Counts") - F.col(f"{c}_nunique")) <= F.ceil(F.col(f"{c}_nunique") * bound) for c in names}
+    return estimated.join(exact, "id").select("id", "days", *[c.alias(n) for n, c in within.items()])
+
+
 def _statistic(key: str, function: str, text: str):
     @query(key, sql(f"SELECT id, {text} AS timelong_{function} FROM login GROUP BY id", "login"))
     def one(spark, d):
@@ -27,11 +46,13 @@ def _statistic(key: str, function: str, text: str):
     return one
 
 
-_statistic("a3_mean", "mean", "round(avg(timelong), 6)")
+_VARIANCE = """CAST(count(timelong) * sum(timelong * timelong) - sum(timelong) * sum(timelong) AS DOUBLE)
+  / nullif(count(timelong) * (count(timelong) - 1), 0)"""
+_statistic("a3_mean", "mean", "CAST(sum(timelong) AS DOUBLE) / count(timelong)")
 _statistic("a4_min", "min", "min(timelong)")
 _statistic("a5_max", "max", "max(timelong)")
-_statistic("a6_variance", "var", "round(var_samp(timelong), 3)")
-_statistic("a7_deviation", "std", "round(stddev_samp(timelong), 6)")
+_statistic("a6_variance", "var", _VARIANCE)
+_statistic("a7_deviation", "std", f"sqrt({_VARIANCE})")
 _statistic("a8_count", "count", "count(timelong)")
 _statistic("a9_sum", "sum", "CAST(sum(timelong) AS BIGINT)")
 _statistic("a10_adjusted_skew", "skew", "round(CASE WHEN count(timelong) >= 3 THEN coalesce(skewness(timelong), 0) END, 6)")
@@ -40,8 +61,9 @@ _statistic("a10_adjusted_skew", "skew", "round(CASE WHEN count(timelong) >= 3 TH
 @query(
     "a11_mean_absolute_deviation",
     sql(
-        """SELECT id, round(avg(abs(timelong - m)), 6) AS timelong_mad
-        FROM (SELECT id, timelong, avg(timelong) OVER (PARTITION BY id) AS m FROM login) GROUP BY id""",
+        """SELECT id, CAST(sum(abs(n * timelong - s)) AS DOUBLE) / (any_value(n) * any_value(n)) AS timelong_mad
+        FROM (SELECT id, timelong, count(timelong) OVER u AS n, sum(timelong) OVER u AS s FROM login
+          WINDOW u AS (PARTITION BY id)) GROUP BY id""",
         "login",
     ),
 )

@@ -39,10 +39,11 @@ PARTS = {
     "base_stats": """
       SELECT id, count(*) FILTER (WHERE timelong % 10 <> 0) AS whole_sec_false,
         count(*) FILTER (WHERE timelong % 10 = 0) AS whole_sec_true, min(timelong) AS timelong_min,
-        max(timelong) AS timelong_max, round(avg(timelong), 6) AS timelong_Mean,
-        round(coalesce(var_samp(timelong), 0), 3) AS timelong_var,
-        round(coalesce(stddev_samp(timelong), 0), 6) AS timelong_std
-      FROM login GROUP BY id""",
+        max(timelong) AS timelong_max, CAST(sum(timelong) AS DOUBLE) / count(timelong) AS timelong_Mean,
+        coalesce(v, 0) AS timelong_var, coalesce(sqrt(v), 0) AS timelong_std
+      FROM (SELECT *, CAST(n * s2 - s1 * s1 AS DOUBLE) / nullif(n * (n - 1), 0) AS v FROM (SELECT *,
+        count(timelong) OVER u AS n, sum(timelong) OVER u AS s1, sum(timelong * timelong) OVER u AS s2 FROM login
+        WINDOW u AS (PARTITION BY id))) GROUP BY id, v""",
     "counted": """
       SELECT id, count(DISTINCT device) AS device_Counts, count(DISTINCT ip) AS ip_Counts,
         count(DISTINCT log_from) AS log_from_Counts, count(DISTINCT type) AS type_Counts,
@@ -94,35 +95,30 @@ PARTS = {
 _SIX = ("min", "max", "std", "var", "mean", "skew")
 
 
-# Variances are large: fewer places, so that the order of summation does not show.
-_PLACES = {"timelong_var": 3, "login_diff_seconds_var": 1}
-
-
-def places(column: str) -> int:
-    return _PLACES.get(column, 6)
-
-
-def sql_statistic(column: str, function: str, mean: str = "") -> str:
-    """A named aggregate in SQL, rounded to what two engines can agree on."""
+def sql_statistic(column: str, function: str) -> str:
+    """A named aggregate of whole numbers in SQL: one formula on exact sums, with the group's count and sum on each row."""
+    n, total = f"n_{column}", f"s_{column}"
+    spread = f"CAST(count({column}) * sum({column} * {column}) - sum({column}) * sum({column}) AS DOUBLE)"
+    var = f"{spread} / nullif(count({column}) * (count({column}) - 1), 0)"
     text = {
         "min": f"min({column})",
         "max": f"max({column})",
-        "std": f"stddev_samp({column})",
-        "var": f"var_samp({column})",
-        "mean": f"avg({column})",
+        "std": f"sqrt({var})",
+        "var": var,
+        "mean": f"CAST(sum({column}) AS DOUBLE) / nullif(count({column}), 0)",
         "skew": f"CASE WHEN count({column}) >= 3 THEN coalesce(skewness({column}), 0) END",
-        "mad": f"avg(abs({column} - {mean}))",
+        "mad": f"CAST(sum(abs({n} * {column} - {total})) AS DOUBLE) / nullif(count({column}) * count({column}), 0)",
     }[function]
     name = f"{column}_{function}"
-    return f"{text} AS {name}" if function in ("min", "max") else f"round({text}, {places(name)}) AS {name}"
+    return f"round({text}, 6) AS {name}" if function == "skew" else f"{text} AS {name}"
 
 
 PARTS["users_v2"] = f"""
       SELECT id, {', '.join(f'count(DISTINCT {c}) AS {c}_nunique' for c in ('device', 'log_from', 'city', 'result', 'type'))},
         {', '.join(sql_statistic('timelong', f) for f in _SIX)},
-        {', '.join(sql_statistic(c, f, 'm_' + c) for c in ('login_diff_day', 'login_diff_seconds') for f in (*_SIX, 'mad'))}
-      FROM (SELECT *, avg(login_diff_day) OVER (PARTITION BY id) AS m_login_diff_day,
-        avg(login_diff_seconds) OVER (PARTITION BY id) AS m_login_diff_seconds FROM gaps_v2)
+        {', '.join(sql_statistic(c, f) for c in ('login_diff_day', 'login_diff_seconds') for f in (*_SIX, 'mad'))}
+      FROM (SELECT *, {', '.join(f'count({c}) OVER u AS n_{c}, sum({c}) OVER u AS s_{c}' for c in ('login_diff_day', 'login_diff_seconds'))}
+        FROM gaps_v2 WINDOW u AS (PARTITION BY id))
       GROUP BY id"""
 
 _NEEDS = {
@@ -173,9 +169,14 @@ def query(name: str, check: str | None = None):
     return add
 
 
+def is_exact(column: str) -> bool:
+    """Statistics of whole numbers: one formula on exact sums, so two engines agree to the last bit."""
+    return column.startswith(("timelong_", "login_diff_")) and not column.endswith("_skew")
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles cut to what two engines agree on."""
-    return df.select(*[F.round(c, places(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles cut to what two engines agree on; exact ones as they are."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" and not is_exact(c) else F.col(c) for c, t in df.dtypes])
 
 
 logins = fixtures.logins

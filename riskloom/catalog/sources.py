@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from riskloom.catalog.registry import linked, logins, query, sql, trades
 from riskloom.model.scoring import submission
 from riskloom.operators.aggregates import logins_per_hour
+from riskloom.operators.joins import link_asof
 from riskloom.session import scratch_path
 from riskloom.sources import files, schemas
 
@@ -26,10 +27,47 @@ def s1(spark, d):
     return files.read_csv(spark, path, schemas.login_schema()).drop("log_from")
 
 
-@query("s2_csv_inferred", sql("SELECT CAST(rowkey AS INT) AS rowkey, CAST(id AS INT) AS id, is_risk FROM trade", "trade"))
+@query(
+    "s1_csv_overrides",
+    sql(
+        """SELECT CAST(log_id AS VARCHAR) AS log_id, CAST(timelong AS INT) AS timelong, device, log_from, ip, city, result,
+          instant AS "timestamp", type, CAST(id AS VARCHAR) AS id, is_scan, is_sec, login_time AS "time" FROM login""",
+        "login",
+    ),
+)
+def s1_overrides(spark, d):
+    """All columns; the keys are declared as text, the other types are inferred."""
+    path = scratch_path(spark, "login-csv")
+    files.write_csv(logins(spark, d), path)
+    return files.read_csv(spark, path, overrides={"log_id": "string", "id": "string"})
+
+
+@query(
+    "s1_csv_corrupt_lines",
+    sql(
+        """SELECT CAST(id AS INT) AS id, count(*) FILTER (WHERE log_id % 7 <> 0) AS fitting,
+          count(*) FILTER (WHERE log_id % 7 = 0) AS others FROM login GROUP BY id""",
+        "login",
+    ),
+)
+def s1_corrupt(spark, d):
+    """Each seventh login has a word for its duration, which is declared a number: those lines are kept apart."""
+    path = scratch_path(spark, "login-csv")
+    broken = F.when(F.col("log_id") % 7 == 0, "unknown").otherwise(F.col("timelong").cast("string"))
+    files.write_csv(logins(spark, d).select("id", "log_id", broken.alias("timelong"), "time"), path)
+    good, bad = files.ingest_csv(spark, path, {"timelong": "bigint"}, share=0.5)
+    fitting = good.groupBy("id").agg(F.count("timelong").alias("fitting"))
+    others = bad.groupBy(F.substring_index(files.CORRUPT, ",", 1).cast("int").alias("id")).agg(F.count(F.lit(1)).alias("others"))
+    return fitting.join(others, "id", "full").na.fill(0, ["fitting", "others"])
+
+
+@query(
+    "s2_csv_inferred",
+    sql("""SELECT CAST(rowkey AS INT) AS rowkey, trade_time AS "time", CAST(id AS INT) AS id, is_risk FROM trade""", "trade"),
+)
 def s2(spark, d):
     path = scratch_path(spark, "trade-csv")
-    files.write_csv(trades(spark, d).drop("time"), path)
+    files.write_csv(trades(spark, d), path)
     return files.read_csv(spark, path)
 
 
@@ -70,3 +108,13 @@ def s4_parquet(spark, d):
     path = scratch_path(spark, "linked")
     files.write_parquet(linked(spark, d), path, ["is_risk"])
     return spark.read.parquet(path).select("rowkey", "id", F.col("is_risk").cast("int"), "login_id")
+
+
+@query("s4_laid_out_logs", sql("SELECT rowkey, id, login_id FROM linked", "linked"))
+def s4_laid_out(spark, d):
+    """Both logs as tables laid out by user, linked where they lie."""
+    logs = {}
+    for name, df in (("login", logins(spark, d).select("id", "time", "log_id")), ("trade", trades(spark, d).select("id", "time", "rowkey"))):
+        path = scratch_path(spark, f"{name}-log")
+        logs[name] = files.write_laid_out(df, f"riskloom_{path.rsplit('-', 1)[1]}", "id", ["time"], path=path)
+    return link_asof(logs["trade"], logs["login"]).select("rowkey", "id", "login_id")

@@ -74,7 +74,8 @@ def w5(spark, d):
     ),
 )
 def w6(spark, d):
-    out = ordered.running_total(logins(spark, d), [], ["time", "log_id"], {"total": "timelong"})
+    login = logins(spark, d).select("log_id", "time", "timelong")
+    out = ordered.running_total(login, [], ["time", "log_id"], {"total": "timelong"})
     return out.select("log_id", "total")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import DRAWS, draw, draw_text
+from riskloom.operators.ordered import numbered, running_total
 from riskloom.operators.shaping import union_all
 
 _DIGITS = 4
@@ -76,6 +79,40 @@ def with_folds(df: DataFrame, k: int, key: str = "rowkey", seed: int = 27, name:
     return df.withColumn(name, F.pmod(draw(key, seed), F.lit(k)).cast("int"))
 
 
+def stratified_folds(df: DataFrame, k: int, label: str = "is_risk", key: str = "rowkey", seed: int = 27, name: str = "fold") -> DataFrame:
+    """Number the rows 0 .. k-1 so that the folds' shares of each class differ by one row at most.
+
+    The rows of a class are dealt in turn, in order of their draws.
+    """
+    placed = numbered(df.withColumn("_draw", draw_text(key, seed)), [label], ["_draw", key], "_place")
+    return placed.withColumn(name, F.pmod("_place", F.lit(k)).cast("int")).drop("_draw", "_place")
+
+
+def hold_out_exact(df: DataFrame, train_share: float = 0.8, key: str = "rowkey", seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Train and test part, the train part the whole number of rows at or below the share."""
+    placed = numbered(df.withColumn("_draw", draw_text(key, seed)), [], ["_draw", key], "_place")
+    n = whole_part(F.lit(df.count()), train_share)
+    return tuple(placed.where(part).drop("_draw", "_place") for part in (F.col("_place") < n, F.col("_place") >= n))
+
+
+def whole_part(n: Column, share: float) -> Column:
+    """floor(n * share), with the share as the decimal that it is written as (0.7 of 10 is 7)."""
+    return F.floor(n.cast("decimal(19,0)") * F.lit(Decimal(str(share)))).cast("long")
+
+
+def with_train_places(folded: DataFrame, k: int, key: str = "rowkey", seed: int = 28) -> DataFrame:
+    """Rows in folds with `place_0` .. `place_<k-1>`: the row's place, from 1, in the training part that leaves that fold out.
+
+    Places follow one order of draws, so the samples of any size cut from them are nested. All are counted in one pass
+    over that order; in its own fold a row has the place of the row before it.
+    """
+    counted = folded.withColumns({f"_in_{j}": (F.col("fold") == j).cast("long") for j in range(k)})
+    counted = counted.withColumn("_draw", draw_text(key, seed))
+    counted = running_total(counted, [], ["_draw", key], {f"_seen_{j}": f"_in_{j}" for j in range(k)})
+    places = {f"place_{i}": sum((F.col(f"_seen_{j}") for j in range(k) if j != i), F.lit(0)) for i in range(k)}
+    return counted.withColumns(places).drop("_draw", *[f"_{what}_{j}" for what in ("in", "seen") for j in range(k)])
+
+
 def random_labels(df: DataFrame, key: str = "rowkey", seed: int = 27, name: str = "r") -> DataFrame:
     """A coin toss per row: the baseline to beat."""
     return df.select(key, (draw(key, seed) >= DRAWS // 2).cast("int").alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import moments
 from riskloom.functions.scalars import differs, is_multiple
 from riskloom.functions.stats import BY_NAME, MEAN_ABSOLUTE_DEVIATION
 from riskloom.operators.hotkeys import hot_keys, with_group_values
@@ -33,16 +34,26 @@ def aggregate_many(
     """As `aggregate`, for several (columns, functions) pairs at once.
 
     `mad` is the mean absolute deviation about the mean. It needs the group's mean on
-    each row first; when asked for, that is added ahead of the same grouping.
+    each row first; when asked for, that is added ahead of the same grouping. Mean, variance and deviation of columns of
+    whole numbers come from exact sums (`moments`), and with a `mad` their skewness as well.
     """
     pairs = [(c, f) for columns, functions in wanted for c in _listed(columns) for f in _listed(functions)]
     df = df.where(F.col(by).isNotNull())
-    centred = list(dict.fromkeys(c for c, f in pairs if f == MEAN_ABSOLUTE_DEVIATION))
-    plain = with_group_values(df, [by], {f"_mean_{c}": F.avg(c) for c in centred}, hot) if centred else df
+    about_mean = list(dict.fromkeys(c for c, f in pairs if f == MEAN_ABSOLUTE_DEVIATION))
+    exact = {c for c, f in pairs if about_mean and f in moments.NAMES and moments.is_whole(df, c)}
+    carried = {f"_mean_{c}": F.avg(c) for c in about_mean if c not in exact}
+    for c in sorted(exact):
+        carried |= moments.centre(c)
+    plain = with_group_values(df, [by], carried, hot) if carried else df
+    centred = {c: moments.centred(c) for c in exact}
 
     def one(c: str, f: str) -> Column:
+        if c in exact and f in moments.NAMES:
+            return centred[c][f]
         if f == MEAN_ABSOLUTE_DEVIATION:
             return F.avg(F.abs(F.col(c) - F.col(f"_mean_{c}")))
+        if f in ("mean", "var", "std") and moments.is_whole(df, c):
+            return moments.one_pass(c)[f]
         return BY_NAME[f](c)
 
     named = {f: {f"{c}_{f}": one(c, f) for c, g in pairs if g == f} for _, f in pairs}

@@ -29,6 +29,7 @@ DEFAULT_HOT_ROWS = 1_000_000
 HOT_TASKS_CONF = "spark.riskloom.hotKeyTasks"
 DEFAULT_HOT_TASKS = 5.0
 SAMPLES_PER_PIECE = 64
+TABLE_SAMPLES_PER_PIECE = 32
 
 LANE = "_lane"
 _COPIES = "_copies"
@@ -52,15 +53,13 @@ def hot_keys(rows: DataFrame, by: list[str]) -> DataFrame | None:
     """The hot keys of `rows` with the number of pieces each should be cut into.
 
     One pass over the key columns gives the counts, their total and thus the average task.
-    None when no key is hot. With an empty `by` the whole table counts as one hot key, however few its rows.
+    None when no key is hot. With an empty `by` the whole table counts as one hot key, however few its rows, and none
+    are counted.
     """
     least, multiple, tasks = _limits(rows)
     sizes = [T.StructField(_COPIES, T.IntegerType(), False), T.StructField(_ROWS, T.LongType(), False)]
     if not by:
-        n = rows.count()
-        if n == 0 or tasks < 2:
-            return None
-        return rows.sparkSession.createDataFrame([(tasks, n)], T.StructType(sizes))
+        return rows.sparkSession.createDataFrame([(tasks, 0)], T.StructType(sizes)) if tasks > 1 else None
     counts = rows.where(known(by)).groupBy(*by).agg(F.count(F.lit(1)).alias(_ROWS))
     average = counts.agg(F.sum(_ROWS) / tasks).scalar()  # of the same shuffle; fewer than `tasks` keys exceed it
     found = counts.where((F.col(_ROWS) >= least) & (F.col(_ROWS) > multiple * average) & (F.col(_ROWS) > average))
@@ -126,8 +125,10 @@ def _cut_points(rows: DataFrame, by: list[str], order: list[str], hot: DataFrame
     found = hot.collect()
     pieces, n = sum(r[_COPIES] for r in found), sum(r[_ROWS] for r in found)
     keyed = rows.select(*dict.fromkeys([*by, *order])).dropna(subset=order)
-    keyed = keyed.join(F.broadcast(hot), by) if by else keyed.withColumn(_COPIES, F.lit(pieces))
-    sample = keyed.sample(min(1.0, SAMPLES_PER_PIECE * pieces / n), seed=1)
+    if by:
+        sample = keyed.join(F.broadcast(hot), by).sample(min(1.0, SAMPLES_PER_PIECE * pieces / n), seed=1)
+    else:  # those of smallest hash: so many, whatever the table's size
+        sample = keyed.orderBy(F.xxhash64(*order)).limit(TABLE_SAMPLES_PER_PIECE * pieces).withColumn(_COPIES, F.lit(pieces))
     picked = (
         sample.groupBy(*by)
         .agg(F.sort_array(F.collect_list(_order(order))).alias("_s"), F.first(_COPIES).alias(_COPIES))
@@ -156,9 +157,8 @@ def with_lanes(
     if hot is None:
         return rows, None
     points = _cut_points(rows, by, order, hot)
-    longest = max((len(r[_POINTS]) for r in points.collect()), default=0)
+    longest = max((len(r[_POINTS] or ()) for r in points.collect()), default=0)
     strides = [1 << b for b in range(max(longest, 1).bit_length() - 1, -1, -1)]
-    here = _order(order)
     if by:
         rows = rows.join(F.broadcast(points), by, "left")
     else:

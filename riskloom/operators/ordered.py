@@ -26,7 +26,8 @@ def with_previous(
     """Add columns of the row before: `columns` maps each new name to the column it reads.
 
     NULL on a key's first row. Rows without a key are left out. Hot keys are worked on
-    lane by lane, and a lane's first row takes the last row of the lane before.
+    lane by lane, and a lane's first row takes the last row of the lane before. With an empty `by` the lanes of the
+    whole table are written once, and read again with what the lanes before them end in.
     """
     rows = rows.where(known(by))
     laned, points = with_lanes(rows, by, order, hot)
@@ -34,6 +35,9 @@ def with_previous(
         w = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
     values = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
+    along = Window.partitionBy(*by, LANE).orderBy(*order)
+    if not by:
+        laned = freeze(laned.withColumn(_PREVIOUS, F.lag(values).over(along)), "lanes")
     ends = (
         only_hot(laned, by, points)
         .groupBy(*by, LANE)
@@ -41,10 +45,9 @@ def with_previous(
         .withColumn(_CARRY, F.lag("_end").over(Window.partitionBy(*by).orderBy(LANE)))
         .drop("_end")
     )
-    w = Window.partitionBy(*by, LANE).orderBy(*order)
     before = F.coalesce(_PREVIOUS, _CARRY)
     return (
-        laned.withColumn(_PREVIOUS, F.lag(values).over(w))
+        (laned.withColumn(_PREVIOUS, F.lag(values).over(along)) if by else laned)
         .join(F.broadcast(ends), [*by, LANE], "left")
         .withColumns({new: before[new] for new in columns})
         .drop(_PREVIOUS, _CARRY, LANE)
@@ -107,7 +110,12 @@ def running_total(
     columns: dict[str, str],
     hot: DataFrame | None | bool = True,
 ) -> DataFrame:
-    """Add sums over the rows so far: `columns` maps each new name to the column summed."""
+    """Add sums over the rows so far: `columns` maps each new name to the column summed.
+
+    With an empty `by` the whole table is one sequence: its rows are dealt into ranges of `order`, summed up within
+    them and written once; the ranges' own sums, read off what was written, tell what to add to each. So there is one
+    shuffle of the rows and one reading of the input, besides a sample of `order` to cut the ranges by.
+    """
     rows = rows.where(known(by))
     laned, points = with_lanes(rows, by, order, hot)
 
@@ -116,6 +124,9 @@ def running_total(
 
     if points is None:
         return rows.withColumns({new: F.sum(old).over(so_far(by)) for new, old in columns.items()})
+    here = {f"_here_{new}": F.sum(old).over(so_far([*by, LANE])) for new, old in columns.items()}
+    if not by:
+        laned = freeze(laned.withColumns(here), "lanes")
     offsets = only_hot(laned, by, points).groupBy(*by, LANE).agg(
         *[F.sum(old).alias(f"_sum_{new}") for new, old in columns.items()]
     )
@@ -123,8 +134,7 @@ def running_total(
     offsets = offsets.select(
         *by, LANE, *[F.sum(f"_sum_{new}").over(earlier).alias(f"_from_{new}") for new in columns]
     )
-    out = laned.withColumns({f"_here_{new}": F.sum(old).over(so_far([*by, LANE])) for new, old in columns.items()})
-    out = out.join(F.broadcast(offsets), [*by, LANE], "left")
+    out = (laned.withColumns(here) if by else laned).join(F.broadcast(offsets), [*by, LANE], "left")
 
     def total(new: str):
         here, before = F.col(f"_here_{new}"), F.col(f"_from_{new}")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from riskloom.operators.hotkeys import attach, hot_keys
 from riskloom.operators.joins import link_asof
 from riskloom.operators.shaping import to_front
-from riskloom.plans.trade_features import LINK_COLUMNS, hot_users, linked_trades, trade_features, trade_gaps_v2
-from riskloom.plans.user_features import login_gaps, user_features, user_features_v2
+from riskloom.plans.login_facts import LoginFacts
+from riskloom.plans.trade_features import LINK_COLUMNS, SHARES, hot_users, linked_trades, trade_features, trade_gaps_v2
+from riskloom.plans.user_features import login_gaps, user_features_v2
+from riskloom.session import freeze
 
 # Login columns that a V2 model row keeps.
 V2_ROW = ["timelong", "is_scan", "is_sec", "login_diff_day", "login_diff_seconds"]
@@ -22,7 +24,8 @@ def transfer_data(
     """Model table V1 or V3: user features and trade features of every linked trade.
 
     Trades without `login_id` are linked first, with `truncate_seconds` by their time cut to the second. With `is_risk` this is the training
-    table, without it the table to score.
+    table, without it the table to score. The logins are read twice: for the link, and for all that is known per user
+    (`LoginFacts`); the latter is written once.
     """
     hot = hot_users(logins, trades)
     if "login_id" not in trades.columns:
@@ -31,15 +34,18 @@ def transfer_data(
             trades = link_asof(trades, logins, LINK_COLUMNS, truncate_seconds=truncate_seconds, hot=None)
         else:
             trades = linked_trades(trades, logins, truncate_seconds, hot)
-    users = user_features(logins, version, modulus)
-    table = trade_features(trades, logins, version, users, hot)
+    facts = LoginFacts(logins, SHARES, version, modulus, hours=version == "v3")
+    table = trade_features(trades, logins, version, facts, hot)
     return to_front(table.drop("time"), "rowkey", "is_risk", "id")
 
 
 def login_table_v2(logins: DataFrame) -> DataFrame:
-    """Every login with its gaps and its user's V2 features; raw code columns dropped."""
+    """Every login with its gaps and its user's V2 features; raw code columns dropped.
+
+    The gaps are written once and read for the features and for the rows.
+    """
     hot = hot_keys(logins, ["id"])
-    gapped = login_gaps(logins, hot)
+    gapped = freeze(login_gaps(logins, hot), "gaps")
     users = user_features_v2(gapped, hot)
     return attach(gapped.drop(*V2_DROPPED), users, ["id"], "inner", hot)
 
@@ -51,7 +57,7 @@ def trade_table_v2(logins: DataFrame, trades: DataFrame) -> DataFrame:
     are the same, and the login log is not widened.
     """
     hot = hot_users(logins, trades)
-    gapped = login_gaps(logins, hot)
+    gapped = freeze(login_gaps(logins, hot), "gaps")
     users = user_features_v2(gapped, hot)
     out = trade_gaps_v2(trades, hot)
     out = attach(out, users, ["id"], "inner", hot)

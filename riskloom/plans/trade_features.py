@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import clock
-from riskloom.operators.aggregates import usage_share, usual_hour
+from riskloom.operators.aggregates import usage_share
 from riskloom.operators.hotkeys import attach, hot_keys, with_group_values
 from riskloom.operators.joins import attach_login, link_asof
 from riskloom.operators.ordered import with_gap, with_gap_parts
+from riskloom.plans.login_facts import LoginFacts
 from riskloom.session import freeze
 
 # Login columns the trade features read, as they are called on a linked trade.
@@ -88,32 +89,29 @@ def trade_features(
     trades: DataFrame,
     logins: DataFrame,
     version: str = "v3",
-    users: DataFrame | None = None,
+    facts: LoginFacts | None = None,
     hot: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Trade features V1 or V3 for linked trades; unlinked ones go.
 
-    `trades` carries `login_id`, from `linked_trades` or from a stored table. A table
-    with one row per user given as `users` is joined on the way, while the trades are
-    laid out by user for the gaps; users missing from it lose their trades.
+    `trades` carries `login_id`, from `linked_trades` or from a stored table. `facts` of the logins may be given; if
+    they hold user features, these come along, and users without them lose their trades. What is known per user is joined while
+    the trades are laid out by user for the gaps; a share is the user's rows with the login's value out of all with one.
     """
     if hot is True:
         hot = hot_users(logins, trades)
+    facts = facts or LoginFacts(logins, SHARES, hours=version == "v3")
     out = trade_login_gap(with_login_columns(trades, logins))
     out = out.withColumn("hours", F.hour("time"))
     out = with_gap_statistics(out, hot)
-    per_user = users
-    if version == "v3":
-        hours = usual_hour(logins).select("id", "l_time_mean")
-        per_user = hours if users is None else users.join(hours, "id")
-    if per_user is not None:
-        out = attach(out, per_user, ["id"], "inner", hot)
+    out = attach(out, facts.users(), ["id"], "inner", hot)
     if version == "v3":
         out = with_hour_deviation(out).drop("l_time_mean")
     for column in SHARES:
         # A user and a value can be hot only where the user is.
         pair = None if hot is None else hot_keys(trades_with(trades, out, column), ["id", f"login_{column}"])
-        out = with_usage_share(out, logins, column, pair, hot)
+        out = attach(out, facts.counts(column).withColumnRenamed(column, f"login_{column}"), ["id", f"login_{column}"], "inner", pair)
+        out = out.withColumn(f"{column}_scale", F.col("_n") / F.col(f"{column}_all")).drop("_n", f"{column}_all")
     return out.drop("login_id", *LINK_COLUMNS)
 
 
