@@ -75,19 +75,19 @@ def _image(states: list[tuple], n: int) -> bytes:
     bits = max(4, (3 * len(steps)).bit_length())
     parts = [
         np.array([n, len(states), len(steps), len(states) - 1, bits], "<i8"), steps, np.array(before, "<i8"),
-        np.array(targets, "<i8"), *_hashed(steps, bits), np.pad(final, (0, -len(final) % 8)),
+        np.array(targets, "<i8"), *hashed(steps, bits), np.pad(final, (0, -len(final) % 8)),
     ]
     return b"".join(p.tobytes() for p in parts)
 
 
-def _slots(steps: np.ndarray, bits: int) -> np.ndarray:
+def slots(steps: np.ndarray, bits: int) -> np.ndarray:
     return ((steps.view(np.uint64) * _ODD) >> np.uint64(64 - bits)).view(np.int64)
 
 
-def _hashed(steps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def hashed(steps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Open hash table of `steps`: the step in each slot (-1: none) and its place."""
     held, place = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
-    left, slot = np.arange(len(steps)), _slots(steps, bits)
+    left, slot = np.arange(len(steps)), slots(steps, bits)
     while len(left):
         free = np.flatnonzero(held[slot] < 0)
         mine, first = np.unique(slot[free], return_index=True)
@@ -98,6 +98,18 @@ def _hashed(steps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return held, place
 
 
+def find(held: np.ndarray, place: np.ndarray, bits: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `steps` a table of `hashed` holds, and the places of all (of use for those that it does)."""
+    slot = slots(steps, bits)
+    there = held[slot]
+    on = np.flatnonzero((there != steps) & (there >= 0))
+    while len(on):
+        slot[on] = following = (slot[on] + 1) & ((1 << bits) - 1)
+        there[on] = now = held[following]
+        on = on[(now != steps[on]) & (now >= 0)]
+    return there == steps, place[slot]
+
+
 def mapped(image: bytes) -> mmap.mmap:
     """The image as a read-only mapping of a memory file: it is on no disk, and gone with the process."""
     file = os.memfd_create("transducer")
@@ -124,15 +136,7 @@ class Transducer:
         self.size = at + self.states + -self.states % 8
 
     def _find(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which steps exist, and the places of all (of use for those that do)."""
-        slot = _slots(steps, self.bits)
-        held = self.held[slot]
-        on = np.flatnonzero((held != steps) & (held >= 0))
-        while len(on):
-            slot[on] = next_ = (slot[on] + 1) & ((1 << self.bits) - 1)
-            held[on] = there = self.held[next_]
-            on = on[(there != steps[on]) & (there >= 0)]
-        return held == steps, self.place[slot]
+        return find(self.held, self.place, self.bits, steps)
 
     def walk(self, key: bytes) -> tuple[int, int]:
         """State behind `key` (-1 if no key begins so) and the number of keys before it."""

@@ -1,11 +1,13 @@
 """BPE encoding and decoding with a lexicon of frequent words.
 
-A word here is what stands between ASCII white space, which always parts tokens of this kind of tokenizer (one that
-drops white space; `Bpe` refuses others). The frequent words of the corpus are compiled, with their ids, into a
-minimal acyclic transducer: words share prefixes and suffixes, a word's ordinal finds its ids. The image is mapped
-into the worker's memory and read in place; whole batches of text are walked through it in raw bytes, so a known word
-is neither normalised nor cut nor merged again. All other words are, exactly: normalised and cut as the tokenizer's
-own normaliser and pre-tokenizer say, then merged pair by pair, always the lowest rank, the leftmost on ties.
+ASCII white space always parts tokens of this kind of tokenizer (one that drops white space; `Bpe` refuses others).
+What stands between is cut into words as its pre-tokenizer would: runs of Latin letters (A to Z, and those of U+00C0 to
+U+00FF), single digits, runs of other marks; an odd one, with an apostrophe or any other character, stays whole and
+is left to the library's normaliser and pre-tokenizer. The frequent words of the corpus are compiled, with their
+ids, into a minimal acyclic transducer: words share prefixes and suffixes, a word's ordinal finds its ids. The image
+is mapped into the worker's memory and read in place; whole batches of text are cut and walked through it at one
+time. All other words are merged exactly: pair by pair, always the lowest rank, the leftmost on ties; those of a batch side
+by side, as the rows of a matrix.
 
 The lexicon holds at most about `most` words of at most `longest` bytes, so it does not grow with the table; what
 it holds changes the time, never the result. Strings of added tokens inside a text become these tokens, as the
@@ -37,16 +39,69 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskloom.llm.rows import Memo, documents
-from riskloom.llm.transducer import Transducer, build, mapped
+from riskloom.llm.transducer import Transducer, build, find, hashed, mapped
 from riskloom.session import freeze
 
 TOKENIZER = "word_bpe_49k.json"
-MOST = 65_536  # words in the lexicon, about
+MOST = 200_000  # words in the lexicon, about
 LONGEST = 64  # bytes of a word in the lexicon
 _HELD = 400_000  # counts that a task keeps before it lets them go
 _TEXT_BYTES = 1 << 20  # text walked at one time
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SHORT = 40  # tokens merged without a heap
+_NEVER = 1 << 62
+
+# Kinds of bytes: what parts words, letters, digits, other marks, and what makes a word odd.
+_NOTHING, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KINDS = np.full(256, _ODD, np.uint8)
+_KINDS[33:127] = _MARK
+_KINDS[[9, 10, 11, 12, 13, 32]] = _NOTHING
+_KINDS[48:58] = _DIGIT
+_KINDS[65:91] = _KINDS[97:123] = _LETTER
+_KINDS[39] = _ODD  # the apostrophe
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_PLAIN = re.compile(rb"(?:[!-&(-~]|" + _LATIN + rb")*")
+_WORD = re.compile(rb"(?:[a-z]|" + _LATIN + rb")+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def words_of(chunk: bytes) -> list[bytes]:
+    """The words of what stands between white space."""
+    return _WORD.findall(chunk.lower()) if _PLAIN.fullmatch(chunk) else [chunk]
+
+
+def is_short(word: bytes) -> bool:
+    """A plain word that `Bpe.merge_all` takes, once its letters are small."""
+    return len(word) <= _SHORT and _PLAIN.fullmatch(word) is not None
+
+
+def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words_of` for a whole batch: where words begin and end, and the bytes with the letters of plain ones small.
+
+    `data` ends in a blank.
+    """
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    odd = np.flatnonzero(kind == _ODD)
+    small = _SMALL[data]
+    if len(odd):
+        edges = np.flatnonzero((kind[1:] == _NOTHING) != (kind[:-1] == _NOTHING)) + 1
+        if kind[0] != _NOTHING:
+            edges = np.concatenate([[0], edges])
+        within = np.unique(np.searchsorted(edges[::2], odd, "right") - 1)
+        starts, ends = edges[::2][within], edges[1::2][within]
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts], step[ends] = 1, -1
+        whole = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+        kind[whole] = _ODD
+        small[whole] = data[whole]
+    edges = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1
+    edges = np.concatenate([[0], edges])
+    real = kind[edges] != _NOTHING
+    ends = np.concatenate([edges[1:], [len(data)]])
+    return edges[real], ends[real], small
 
 
 class Bpe:
@@ -60,6 +115,7 @@ class Bpe:
         if not plain or self.file["decoder"] or self.file["post_processor"] or any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in self.file["added_tokens"]):
             raise ValueError("a tokenizer of another kind")
         library = tokenizers.Tokenizer.from_file(path)
+        self.letters = {b: self._letter(library, b) for b in range(256)}
         self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         if self.cut("a b") != self.cut("a") + [(p, (s + 2, e + 2)) for p, (s, e) in self.cut("b")]:
             raise ValueError("a tokenizer that keeps white space")
@@ -73,10 +129,36 @@ class Bpe:
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[vocabulary[a] << 32 | vocabulary[b]] = rank << 32 | vocabulary[a + b]
         self.pieces = Memo(self.merge, 200_000)
+        keys = np.array(sorted(self.merges), np.int64)
+        self.bits = (3 * len(keys)).bit_length()
+        self.pairs = hashed(keys, self.bits)
+        self.made = np.array([self.merges[k] for k in keys.tolist()], np.int64)
+        # Ids of the bytes of plain words, inside and at the end; -1 for none.
+        self.inside, self.last = (
+            np.array([-1 if not c or (i := self.id_of(c + end)) is None else i for c in self.letters.values()], np.int64)
+            for end in ("", self.end)
+        )
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece of a word, in the letters of the vocabulary."""
         ids = [i for i in [*map(self.id_of, piece[:-1]), self.id_of(piece[-1:] + self.end)] if i is not None]
+        return self._merge_long(ids) if len(ids) > _SHORT else self._merge_short(ids)
+
+    def _merge_short(self, ids: list[int]) -> tuple[int, ...]:
+        """The least of all pairs each time: quicker than a heap for few."""
+        made = self.merges.get
+        found = [made(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) < _NEVER:
+            i = found.index(best)
+            ids[i] = best & 0xFFFFFFFF
+            del ids[i + 1], found[i]
+            if i < len(found):
+                found[i] = made(ids[i] << 32 | ids[i + 1], _NEVER)
+            if i:
+                found[i - 1] = made(ids[i - 1] << 32 | ids[i], _NEVER)
+        return tuple(ids)
+
+    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         n, made = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n))
         # Rank in front, place behind: the smallest entry is the next merge.
@@ -101,13 +183,66 @@ class Bpe:
                 heappush(heap, (m >> 32 << 32) | left)
         return tuple(i for i in ids if i >= 0)
 
-    def word(self, word: bytes) -> list[int]:
-        """Ids of a word as it stands in a text."""
-        return [i for piece, _ in self.cut(self.normal(word.decode())) for i in self.pieces[piece]]
+    @staticmethod
+    def _letter(library, byte: int) -> str:
+        """What stands for a byte in the vocabulary; asked for those of Latin letters and ASCII marks only."""
+        if byte < 128:
+            return chr(byte)
+        first, second = (chr(0xC0), 0) if byte == 0xC3 else (bytes([0xC3, byte]).decode(), 1) if byte < 0xC0 else ("", 0)
+        return library.pre_tokenizer.pre_tokenize_str(first)[0][0][second] if first not in ("", "×", "÷") else ""
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What `merges` has for each pair, _NEVER where it has nothing or an id is missing."""
+        known, place = find(*self.pairs, self.bits, left << 32 | right)
+        return np.where(known & (left >= 0) & (right >= 0), self.made[place % max(len(self.made), 1)], _NEVER)
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of plain words in small letters, none longer than _SHORT: one merge in each per round."""
+        sizes = np.array(list(map(len, words)))
+        ids = np.full((len(words), sizes.max()), -1, np.int64)
+        inside = np.arange(sizes.max()) < sizes[:, None]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids[inside] = self.inside[raw]
+        ids[np.arange(len(words)), sizes - 1] = self.last[raw[np.cumsum(sizes) - 1]]
+        ranks = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), -1)
+        out: list = [None] * len(words)
+        row = np.arange(len(words))
+        while len(row):
+            best = ranks.min(axis=1, initial=_NEVER)
+            over = best == _NEVER
+            if over.any():
+                for r, found in zip(row[over].tolist(), ids[over].tolist()):
+                    out[r] = tuple(i for i in found if i >= 0)
+                on = ~over
+                row, ids, ranks, best = row[on], ids[on], ranks[on], best[on]
+                continue
+            lines, at, width = np.arange(len(row)), ranks.argmin(axis=1), ids.shape[1]
+            ids[lines, at] = best & 0xFFFFFFFF
+            stay = np.ones(ids.shape, bool)
+            stay[lines, at + 1] = False
+            ids = ids[stay].reshape(len(row), width - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[lines, at] = False
+            ranks = ranks[stay].reshape(len(row), width - 2)
+            for place in (at, at - 1):
+                mine = np.flatnonzero((place >= 0) & (place < width - 2))
+                p = place[mine]
+                ranks[mine, p] = self._ranks(ids[mine, p], ids[mine, p + 1])
+        return out
+
+    def spelt(self, word: bytes) -> str | None:
+        """A plain word in the letters of the vocabulary, small ones; None for an odd one."""
+        return "".join([self.letters[b] for b in word.decode().lower().encode()]) if _PLAIN.fullmatch(word) else None
+
+    def word(self, word: bytes) -> tuple[int, ...]:
+        """Ids of a word."""
+        if (letters := self.spelt(word)) is not None:
+            return self.merge(letters)
+        return tuple(i for piece, _ in self.cut(self.normal(word.decode())) for i in self.pieces[piece])
 
     def rendered(self, ids) -> tuple[bytes, bytes]:
         """Decimal ids and the tokens' strings, joined by blanks."""
-        return b" ".join(b"%d" % i for i in ids), b" ".join([self.string[i] for i in ids])
+        return " ".join(map(str, ids)).encode(), b" ".join([self.string[i] for i in ids])
 
 
 @functools.lru_cache(maxsize=2)
@@ -122,7 +257,11 @@ def word_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            kept = {w: n for w, n in counts.items() if len(w) <= longest}
+            kept: Counter = Counter()
+            for chunk, n in counts.items():
+                for word in words_of(chunk):
+                    if len(word) <= longest:
+                        kept[word] += n
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(kept.values(), pa.int64())], names=["word", "n"])
 
@@ -157,7 +296,7 @@ def lexicon(docs: DataFrame, path: str, most: int = MOST, longest: int = LONGEST
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = [bpe.word(w) for w in batch.column(0).to_pylist()]
+            ids = [list(bpe.word(w)) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     def compile_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,31 +331,38 @@ class Coder:
         # What a known word adds to a document's two strings, made when it is first met.
         self.ends, self.ids, self.ready = ends, ids, np.zeros(n, bool)
         self.numbers, self.strings = np.full(n, None, object), np.full(n, None, object)
-        self.unseen = Memo(lambda word: self.bpe.rendered(self.bpe.word(word)), 100_000)
+        self.unseen = Memo(lambda word: self.bpe.rendered(self.bpe.word(word)), 200_000)
 
     def joined(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Per text the decimal ids and the tokens' strings, each joined by blanks."""
         whole = [t.encode() for t in texts]
         data = np.frombuffer(b" ".join(whole) + b" ", np.uint8)
-        blank = _BLANK[data]
-        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        if not blank[0]:
-            edges = np.concatenate([[0], edges])
-        starts, ends = edges[::2], edges[1::2]
-        ordinals = self.automaton.ordinals(data, starts, ends)
+        starts, ends, small = cut(data)
+        ordinals = self.automaton.ordinals(small, starts, ends)
         known = ordinals >= 0
         for o in np.unique(ordinals[known][~self.ready[ordinals[known]]]).tolist():
             self.numbers[o], self.strings[o] = self.bpe.rendered(self.ids[self.ends[o] : self.ends[o + 1]].tolist())
             self.ready[o] = True
         numbers, strings = np.full(len(starts), None, object), np.full(len(starts), None, object)
         numbers[known], strings[known] = self.numbers[ordinals[known]], self.strings[ordinals[known]]
-        raw = data.tobytes()
-        for i in np.flatnonzero(~known).tolist():
-            numbers[i], strings[i] = self.unseen[raw[starts[i] : ends[i]]]
+        raw = small.tobytes()
+        unknown = np.flatnonzero(~known)
+        words = [raw[s:e] for s, e in zip(starts[unknown].tolist(), ends[unknown].tolist())]
+        self._learn(set(words))
+        for i, word in zip(unknown.tolist(), words):
+            numbers[i], strings[i] = self.unseen[word]
         cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in whole)])).tolist()
         numbers, strings = numbers.tolist(), strings.tolist()
         return [(b" ".join(filter(None, numbers[s:e])), b" ".join(filter(None, strings[s:e]))) for s, e in zip(cuts, cuts[1:])]
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Merge those of the plain words that are not remembered, all at one time."""
+        held, older = self.unseen, self.unseen.older
+        new = [w for w in words if w not in held and w not in older and is_short(w)]
+        if new:
+            for word, ids in zip(new, self.bpe.merge_all([w.decode().lower().encode() for w in new])):
+                held.put(word, self.bpe.rendered(ids))
+
     def parted(self, text: str) -> tuple[bytes, bytes]:
         """As `joined`, for one text with strings of added tokens inside."""
         parts = self.bpe.find_added.split(text)
@@ -264,7 +410,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared.value, path)
         for batch in batches:
-            for at, texts in _lots(batch.column(len(kept))):
+            for at, texts in lots(batch.column(len(kept))):
                 rows = [row(*found) for found in coder.all(texts)]
                 part = batch.slice(at, len(texts))
                 made = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
@@ -275,7 +421,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
     return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *new.fields]))
 
 
-def _lots(texts: pa.Array, limit: int = _TEXT_BYTES) -> Iterator[tuple[int, list[str]]]:
+def lots(texts: pa.Array, limit: int = _TEXT_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about `limit` characters, with the place of the first."""
     lot, size, first = [], 0, 0
     for at, text in enumerate(texts):

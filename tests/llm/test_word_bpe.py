@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -36,9 +37,22 @@ def texts(n=300):
 
 def test_exact_merging(library):
     bpe = word_bpe.load(PATH)
-    for text in texts():
-        for word in text.replace("<|", "").encode().split():
-            assert bpe.word(word) == library.encode(word.decode(), add_special_tokens=False).ids
+    for text in [*texts(), "Straße ÀÉÎ×÷ÿ a1b22c ABC-def. x--y __z__ 3.14"]:
+        for chunk in text.replace("<|", "").encode().split():
+            words = word_bpe.words_of(chunk)
+            assert [i for w in words for i in bpe.word(w)] == library.encode(chunk.decode(), add_special_tokens=False).ids
+        data = np.frombuffer(text.encode() + b" ", np.uint8)
+        starts, ends, small = word_bpe.cut(data)
+        raw = small.tobytes()
+        assert [raw[s:e] for s, e in zip(starts, ends)] == [w for chunk in text.encode().split() for w in word_bpe.words_of(chunk)]
+
+
+def test_merging_side_by_side():
+    bpe, rng = word_bpe.load(PATH), random.Random(5)
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 40))).encode() for _ in range(500)]
+    words += [b"a", b"9", b"!!", "é".encode() * 15, "Éàß".lower().encode(), b"the", b"inininininin", b"aaaaaaaa"]
+    assert bpe.merge_all(words) == [bpe.word(w) for w in words]
+    assert bpe.merge_all([b"x"]) == [bpe.word(b"x")]
 
 
 @pytest.mark.parametrize("most", [0, 20, word_bpe.MOST])
@@ -64,7 +78,7 @@ def test_round_trip_and_odd_tables(odd, nothing, library):
 
 
 def test_frequent_words(spark):
-    docs = spark.createDataFrame([("a a a b b b c c d",), (" a\tb\nc" + "z" * 70 + " " + "z" * 70,), (None,)], "text string")
+    docs = spark.createDataFrame([("a a A b b, b c c d",), (" a\tb\n c " + "z" * 70 + " " + "z" * 70,), (None,)], "text string")
     held = {r["word"].decode() for r in word_bpe.frequent_words(docs).collect()}
     assert held == {"a", "b", "c"}
     assert {r["word"].decode() for r in word_bpe.frequent_words(docs, 2).collect()} == {"a", "b"}
