@@ -55,11 +55,14 @@ class Memo(dict):
             value = self.answer(key)
             if len(key) > self.longest:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def with_columns_from_text(
