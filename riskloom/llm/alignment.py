@@ -22,14 +22,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import sentencepiece
 import tokenizers
 import zstandard
@@ -39,92 +37,122 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskloom.llm.rows import SPACE, Memo, documents
+from riskloom.llm.rows import Memo, documents, pieces_of
+from riskloom.llm.word_bpe import lots
 from riskloom.session import freeze
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RUN = 1_500_000  # records of a run, about
 _DOCUMENT_BITS = 20  # documents of a run
 
-# From a blank to the next blank that follows other than white space; all pieces of a blank and a text begin with a blank.
-_OTHER = SPACE.replace(" ", "", 1)
-PIECE = f" [{SPACE}]*[^{SPACE}]*(?:[{_OTHER}][{SPACE}]*[^{SPACE}]*)*"
+_TEXT = 1 << 19  # characters aligned at one time
+_LARGE = 1024  # links of a group from which on its different ids are paired instead of all tokens
 RESULT = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 class Aligner:
-    """Aligns both tokenizations of one text.
+    """Aligns both tokenizations of batches of texts.
 
-    Neither tokenizer joins tokens across the start of a piece: A's pattern takes white space in front of other
-    characters only, and no B piece has a blank behind another character (checked here). Both thus have a token
-    end there, and a piece's groups are always the same, so they are worked out once and remembered.
+    A's pattern takes white space in front of other characters only, so what stands between the starts of runs of white
+    space is encoded once and remembered. B is encoded whole.
     """
 
     def __init__(self, first: str, second: str):
-        self.pieces = regex.compile(PIECE).findall
         self.a = tokenizers.Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         kind = self.a.pre_tokenizer
-        if type(kind).__name__ != "ByteLevel" or kind.add_prefix_space or self.a.normalizer or any("▁" in n.lstrip("▁") for n in names):
-            raise ValueError("tokenizers of another kind")
+        if type(kind).__name__ != "ByteLevel" or kind.add_prefix_space or self.a.normalizer:
+            raise ValueError("a tokenizer of another kind")
         letters = {c: b for b, c in _byte_letters().items()}
         vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
-        self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.blank = self.b.piece_to_id("▁")
-        self.bits = (len(names) - 1).bit_length()
-        if (max(self.a_bytes) + 1).bit_length() + self.bits + _DOCUMENT_BITS > 63:
+        spelt = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
+        self.a_bytes = _objects([spelt.get(i, b"") for i in range(max(spelt) + 1)])
+        self.b_bytes = _objects([bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)])
+        self.a_size, self.b_size = (np.array(list(map(len, side)), np.int64) for side in (self.a_bytes, self.b_bytes))
+        # Ids as they stand in the text of the groups, with what follows them.
+        self.a_text = {end: _objects([f"{i}{end}" for i in range(len(self.a_bytes))]) for end in ",|"}
+        self.b_text = {end: _objects([f"{i}{end}" for i in range(len(names))]) for end in (",", ";", "")}
+        self.bits, self.a_bits = (len(names) - 1).bit_length(), (len(self.a_bytes) - 1).bit_length()
+        if self.bits + self.a_bits + _DOCUMENT_BITS > 63:
             raise ValueError("vocabularies too large")
-        self.memo = Memo(self.align, 250_000)
-
-    def align(self, piece: str) -> tuple | None:
-        """Groups as text, numbers as in RESULT, and pairs with their links (flat, as bytes); None if the bytes differ."""
-        a = self.a.encode(piece, add_special_tokens=False).ids
-        b = self.b.encode(piece[1:]) if len(piece) > 1 else [self.blank]
-        whole = piece.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
+        self.memo = Memo(lambda piece: np.array(self.a.encode(piece, add_special_tokens=False).ids, "<i4").tobytes(), 400_000)
+
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides; None where there are none or they do not spell the text."""
+        if not text:
             return None
-        groups, pairs, links = [], [], 0
-        for one, two in self._groups(a, b):
-            groups.append(f"{','.join(map(str, one))}|{','.join(map(str, two))}")
-            links += len(one) * len(two)
-            if len(one) * len(two) <= 64:
-                pairs += [x for i in one for j in two for x in (i << self.bits | j, 1)]
-            else:
-                other = Counter(two).items()
-                pairs += [x for i, n in Counter(one).items() for j, m in other for x in (i << self.bits | j, n * m)]
-        return ";".join(groups), (len(a), len(b), len(groups), links), np.array(pairs, np.int64).tobytes()
-
-    def _groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        i = j = 0
-        while i < len(a):
-            from_i, from_j = i, j
-            ahead = len(self.a_bytes[a[i]]) - len(self.b_bytes[b[j]])
-            i, j = i + 1, j + 1
-            while ahead:
-                if ahead < 0:
-                    ahead += len(self.a_bytes[a[i]])
-                    i += 1
-                else:
-                    ahead -= len(self.b_bytes[b[j]])
-                    j += 1
-            yield a[from_i:i], b[from_j:j]
-
-    def document(self, text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Hash of the groups, the numbers of RESULT, different pairs and their links."""
-        pieces = self.pieces(" " + text) if text else ()
-        found = list(map(self.memo.__getitem__, pieces))
-        if not found or None in found:
+        a = np.frombuffer(b"".join(map(self.memo.__getitem__, pieces_of(" " + text))), "<i4")
+        b = self.b.encode_as_numpy(text)
+        whole = (" " + text).encode()
+        if b"".join(self.a_bytes[a].tolist()) != whole or b"".join(self.b_bytes[b].tolist()) != whole:
             return None
-        name = hashlib.sha256(";".join([f[0] for f in found]).encode()).hexdigest()
-        numbers = np.array([f[1] for f in found], np.int64).sum(axis=0)
-        flat = np.frombuffer(b"".join([f[2] for f in found]), np.int64).reshape(-1, 2)
-        order = np.argsort(flat[:, 0], kind="stable")
-        keys = flat[order, 0]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return name, numbers, keys[at], np.add.reduceat(flat[order, 1], at)
+        return a, b
+
+    def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """Per text the numbers of RESULT and the hash of its groups; of all texts the different (place of the text,
+        pair) with the number of links."""
+        found = [self._encoded(t) for t in texts]
+        good = [i for i, f in enumerate(found) if f is not None]
+        rows: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
+        if not good:
+            return rows, *(np.zeros(0, np.int64) for _ in range(3))
+        a_sizes, b_sizes = (np.array([len(found[i][side]) for i in good]) for side in (0, 1))
+        a, b = (np.concatenate([found[i][side] for i in good]).astype(np.int64) for side in (0, 1))
+        # The texts end to end: where one ends, both sides have a token end.
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        a_last, b_last = b_end[np.searchsorted(b_end, a_end)] == a_end, a_end[np.searchsorted(a_end, b_end)] == b_end
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        n_groups = int(a_group[-1]) + 1
+        per_a, per_b = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
+        before_a, before_b = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
+        document = np.repeat(np.array(good), a_sizes)[a_last]  # of each group
+        links = per_a * per_b
+        n_of, links_of = np.bincount(document, minlength=len(texts)), np.zeros(len(texts), np.int64)
+        np.add.at(links_of, document, links)
+
+        line = np.empty(len(a) + len(b), object)
+        line[np.arange(len(a)) + before_b[a_group]] = np.where(a_last, self.a_text["|"][a], self.a_text[","][a])
+        ends = np.where(b_last, self.b_text[";"][b], self.b_text[","][b])
+        stops = np.cumsum(b_sizes) - 1
+        ends[stops] = self.b_text[""][b[stops]]
+        line[np.arange(len(b)) + (before_a + per_a)[b_group]] = ends
+        line, at = line.tolist(), 0
+        for i, n_a, n_b in zip(good, a_sizes.tolist(), b_sizes.tolist()):
+            name = hashlib.sha256("".join(line[at : at + n_a + n_b]).encode()).hexdigest()
+            rows[i] = (n_a, n_b, int(n_of[i]), int(links_of[i]), name)
+            at += n_a + n_b
+
+        few = links <= _LARGE
+        mine = np.flatnonzero(few[a_group])
+        times = per_b[a_group[mine]]
+        first = np.repeat(before_b[a_group[mine]], times)
+        second = first + np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times)
+        places = [np.repeat(document[a_group[mine]], times)]
+        keys, counts = [np.repeat(a[mine], times) << self.bits | b[second]], [np.ones(len(first), np.int64)]
+        for g in np.flatnonzero(~few).tolist():
+            one, n = np.unique(a[before_a[g] : before_a[g] + per_a[g]], return_counts=True)
+            two, m = np.unique(b[before_b[g] : before_b[g] + per_b[g]], return_counts=True)
+            keys.append((one[:, None] << self.bits | two).ravel())
+            counts.append((n[:, None] * m).ravel())
+            places.append(np.full(len(keys[-1]), document[g]))
+        return rows, *_summed(np.concatenate(places), np.concatenate(keys), np.concatenate(counts), self.bits + self.a_bits)
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def _summed(places: np.ndarray, keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (place, key) and the sum of their counts."""
+    both = places << bits | keys
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[at] >> bits, both[at] & ((1 << bits) - 1), np.add.reduceat(counts[order], at)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -177,19 +205,16 @@ class Run:
         self.links: list[np.ndarray] = []
         self.records = 0
 
-    def add(self, key, found: tuple | None) -> None:
-        if found is None:
-            self.documents.append((key, 0, 0, 0, 0, ""))
-            return
-        name, numbers, keys, links = found
-        self.keys.append(keys << _DOCUMENT_BITS | len(self.documents))
+    def add(self, names: list, rows: list[tuple], places: np.ndarray, keys: np.ndarray, links: np.ndarray) -> None:
+        """Texts with what `Aligner.align` found."""
+        self.keys.append(keys << _DOCUMENT_BITS | (places + len(self.documents)))
         self.links.append(links)
-        self.documents.append((key, *numbers.tolist(), name))
+        self.documents += [(name, *row) for name, row in zip(names, rows)]
         self.records += len(keys)
 
     @property
     def full(self) -> bool:
-        return self.records >= self.limit or len(self.documents) >= (1 << _DOCUMENT_BITS) - 1
+        return self.records >= self.limit or len(self.documents) >= (1 << _DOCUMENT_BITS) // 2
 
     def frames(self) -> tuple[list[bytes], list[bytes]]:
         """Heads and bodies of each part; empty bytes where a part has no pair."""
@@ -234,8 +259,8 @@ def runs(docs: DataFrame, first: str, second: str, parts: int, limit: int = RUN)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), held, *rest], schema=arrow)
 
         for batch in batches:
-            for doc, text in zip(*batch.columns):
-                run.add(doc.as_py(), aligner.document(text.as_py() or ""))
+            for at, texts in lots(batch.column(1), _TEXT):
+                run.add(batch.column(0).slice(at, len(texts)).to_pylist(), *aligner.align(texts))
                 if run.full:
                     yield out()
                     number, run = number + 1, Run(aligner.bits, parts, limit)
