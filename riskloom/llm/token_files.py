@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import struct
 import zlib
 
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from riskloom.llm import word_bpe
 from riskloom.llm.rows import Memo, documents, with_columns_from_text
 from riskloom.session import freeze, scratch_path
 
@@ -44,38 +44,40 @@ BLOCK = 1 << 20
 ENTRY = "struct<id: bigint, start: bigint, n_tokens: bigint, at: bigint, n_bytes: bigint>"
 BLOCKS = f"part int, block int, first_id bigint, last_id bigint, tokens bigint, dictionary string, index array<{ENTRY}>, payload binary"
 
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")  # Latin letters, then marks but no apostrophe
-
 
 class Encoder:
     """Ids as `Tokenizer.encode` gives them, serialized, for a tokenizer that drops white space.
 
-    ASCII white space always parts tokens there, so what stands between is encoded by the library once and
-    remembered. Words of Latin letters, which the normaliser only lower-cases, go to the library's model
-    directly. Texts with the string of an added token go to the library whole.
+    ASCII white space always parts tokens there, so what stands between is encoded once and remembered, and so are
+    the words that it is cut into (`word_bpe.words_of`). Plain words, which the normaliser only lower-cases, go to the
+    library's model directly; odd ones, and texts with the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
-        self.library = tokenizers.Tokenizer.from_file(path)
-        self.model = self.library.model.tokenize
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library, self.bpe = tokenizers.Tokenizer.from_file(path), word_bpe.load(path)
+        self.model, self.letters, self.added = self.library.model.tokenize, self.bpe.spelt, list(self.bpe.added)
         self.words, self.chunks = Memo(self._word), Memo(self._chunk, 1_000_000)
-        probe = self.library.pre_tokenizer.pre_tokenize_str  # the byte-level letters of a character
-        self.letters = {c: "".join(p for p, _ in probe(chr(c))) for c in range(192, 256) if chr(c) not in "×÷"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model(word.lower().translate(self.letters))]
+    def _word(self, word: bytes) -> bytes:
+        letters = self.letters(word)
+        if letters is None:
+            return self.whole(word.decode())
+        ids = [t.id for t in self.model(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if simple := _WORD.fullmatch(text):
-            word, marks = simple.groups()
-            return self.words[word] + (self.chunks[marks.encode()] if marks else b"")
-        return self.whole(text)
+        return b"".join(map(self.words.__getitem__, word_bpe.words_of(chunk)))
+
+    def learn(self, texts: list[str]) -> None:
+        """Merge the new words of several texts side by side; `encode` then finds them."""
+        chunks = {c for t in texts for c in t.encode().split()}
+        new = {w for c in chunks if c not in self.chunks and c not in self.chunks.older for w in word_bpe.words_of(c)}
+        new = [w for w in new if w not in self.words and w not in self.words.older and word_bpe.is_short(w)]
+        for word, ids in zip(new, self.bpe.merge_all([w.decode().lower().encode() for w in new]) if new else ()):
+            self.words.put(word, struct.pack(f"<{len(ids)}I", *ids))
 
     def encode(self, text: str) -> bytes:
         if any(a in text for a in self.added):
@@ -119,19 +121,18 @@ def write_files(docs: DataFrame, folder: str, path: str, end: int = END) -> None
     raw = train_dictionary(docs, path, end)
     name = hashlib.sha256(raw).hexdigest()
 
-    def make():
+    def compress(batches):
         encoder, tail = load(path), np.array([end], "<u4").tobytes()
         packer = zstandard.ZstdCompressor(dict_data=_dictionary(raw))
-
-        def work(text: str) -> tuple:
-            ids = encoder.encode(text) + tail
-            return len(ids) // 4, packer.compress(ids)
-
-        return work
-
-    frames = with_columns_from_text(
-        docs.withColumn("__tie", F.xxhash64("text")), make, "n_tokens long, frame binary", ["doc_id", "__tie"]
-    )
+        for batch in batches:
+            for at, texts in word_bpe.lots(batch.column(2)):
+                encoder.learn(texts)
+                ids = [encoder.encode(t) + tail for t in texts]
+                made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:2], *made], names=["doc_id", "__tie", "n_tokens", "frame"])
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("__tie"), "text")
+    frames = keyed.mapInArrow(compress, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __tie long, n_tokens long, frame binary")
     frames = freeze(frames, "frames")  # cutting the ranges reads it once more
     laid_out = frames.repartitionByRange(F.col("doc_id").asc_nulls_first(), "__tie").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "__tie"
@@ -181,7 +182,8 @@ def _arrow(schema: str) -> pa.Schema:
 def read_files(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32 of the ids as stored and, if asked for, the ids."""
     stored = spark.read.parquet(f"{folder}/dictionary").first()
-    name, raw = stored["hash"], bytes(stored["bytes"])
+    raw = bytes(stored["bytes"])
+    name = hashlib.sha256(raw).hexdigest()
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").join(spark.read.parquet(f"{folder}/parts"), "part")
     blocks = blocks.select("before", "dictionary", "index", "payload")
 
@@ -210,12 +212,17 @@ def read_files(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[int]:
-    """The ids of one document, from the block that holds it and nothing else; empty if there is none."""
+    """The ids of one document, from the block that holds it and nothing else; empty if there is none.
+
+    Raises ValueError if the file set's dictionary is not the one that the block names.
+    """
     held = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where(F.lit(doc_id).between(F.col("first_id"), F.col("last_id")))
-    for block in held.select("index", "payload").limit(2).collect():
+    for block in held.select("dictionary", "index", "payload").limit(2).collect():
         for e in block["index"]:
             if e["id"] == doc_id:
                 raw = bytes(spark.read.parquet(f"{folder}/dictionary").first()["bytes"])
+                if hashlib.sha256(raw).hexdigest() != block["dictionary"]:
+                    raise ValueError(f"block needs dictionary {block['dictionary']}, the file set has another")
                 frame = bytes(block["payload"])[e["at"] : e["at"] + e["n_bytes"]]
                 return np.frombuffer(zstandard.ZstdDecompressor(dict_data=_dictionary(raw)).decompress(frame), "<u4").tolist()
     return []

@@ -92,3 +92,17 @@ def test_files_round_trip(spark, odd, nothing, small, tmp_path):
         assert sorted(r["ids"] for r in got) == due
     assert token_files.read_document(spark, str(tmp_path / "odd"), 3) == [1]
     assert token_files.read_document(spark, str(tmp_path / "odd"), 99) == []
+
+
+def test_wrong_dictionary_is_refused(spark, small, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    token_files.write_files(small, one, P.path(token_files.TOKENIZER))
+    spark.read.parquet(f"{one}/blocks").write.parquet(f"{two}/blocks")
+    spark.read.parquet(f"{one}/parts").write.parquet(f"{two}/parts")
+    spark.createDataFrame([(spark.read.parquet(f"{one}/dictionary").first()["hash"], b"other")], "hash string, bytes binary").write.parquet(f"{two}/dictionary")
+    first = small.agg({"doc_id": "min"}).first()[0]
+    assert token_files.read_document(spark, one, first)
+    with pytest.raises(ValueError):
+        token_files.read_document(spark, two, first)
+    with pytest.raises(Exception, match="needs dictionary"):
+        token_files.read_files(spark, two).collect()
