@@ -1,33 +1,30 @@
 """From raw documents to token ids in five stages, each stored before the next one reads it.
 
 Every stage works on all rows that its predecessor kept, and all but the last return the columns of `documents`
-(and any further ones that came in). Null texts count as empty and are kept as they are.
+(and any further ones that came in, whatever their names, with their values). Null texts count as empty and are kept
+as they are. What a stage writes on its way, and the table that it read, are deleted once its output is stored.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, decontamination, near_copies, secrets, toxicity
+from riskloom.llm import byte_bpe, decontamination, secrets, simhash, toxicity
 from riskloom.llm.rows import documents, table
-from riskloom.session import freeze
+from riskloom.session import remove, scratch_path, temporaries
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples do not call toxic (score below 0.5)."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id")).select("doc_id", "toxic")
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels), evidence=False)
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
-
-    Near copies have five-word shingles of Jaccard 0.8 or more, or SimHashes as close as op4's.
-    """
-    return near_copies.deduplicate(docs)
+    """One document of each group of near copies: the one with the smallest id. Groups are those of SimHashes of three-word
+    shingles that differ by two bits or fewer from one to the next."""
+    return simhash.deduplicate(docs, radius=2, words=3)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +54,13 @@ ORACLE_SQL = None  # tokenizer, learnt models and hashes are beyond SQL; see tes
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = freeze(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with temporaries(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
