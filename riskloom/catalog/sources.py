@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskloom.catalog.registry import linked, logins, query, sql, trades
 from riskloom.model.scoring import submission
 from riskloom.operators.aggregates import logins_per_hour
-from riskloom.operators.joins import link_asof
+from riskloom.operators.joins import link_timeline, timeline
 from riskloom.session import scratch_path
 from riskloom.sources import files, schemas
 
@@ -112,9 +112,11 @@ def s4_parquet(spark, d):
 
 @query("s4_laid_out_logs", sql("SELECT rowkey, id, login_id FROM linked", "linked"))
 def s4_laid_out(spark, d):
-    """Both logs as tables laid out by user, linked where they lie."""
-    logs = {}
-    for name, df in (("login", logins(spark, d).select("id", "time", "log_id")), ("trade", trades(spark, d).select("id", "time", "rowkey"))):
-        path = scratch_path(spark, f"{name}-log")
-        logs[name] = files.write_laid_out(df, f"riskloom_{path.rsplit('-', 1)[1]}", "id", ["time"], path=path)
-    return link_asof(logs["trade"], logs["login"]).select("rowkey", "id", "login_id")
+    """Both logs as tables laid out by user and sorted by time, linked where they lie."""
+    both = timeline(trades(spark, d), logins(spark, d))
+    logs = []
+    for is_login in (0, 1):
+        path = scratch_path(spark, "log")
+        name = f"riskloom_{path.rsplit('-', 1)[1]}"
+        logs.append(files.write_laid_out(both.where(F.col("_is_login") == is_login), name, "id", ["_at"], path=path))
+    return link_timeline(logs[0].union(logs[1])).select("rowkey", "id", "login_id")

@@ -30,6 +30,24 @@ def link_asof(
     Both logs are put in one time order per user and the last login seen is carried
     along, so the cost is one shuffle and one sort, however many logins a user has.
     """
+    return link_timeline(timeline(trades, logins, take, by, time, trade_key, login_key, truncate_seconds), by, hot)
+
+
+def timeline(
+    trades: DataFrame,
+    logins: DataFrame,
+    take: dict[str, str] | None = None,
+    by: str = "id",
+    time: str = "time",
+    trade_key: str = "rowkey",
+    login_key: str = "log_id",
+    truncate_seconds: bool = False,
+) -> DataFrame:
+    """Both logs in one form: what `link_timeline` wants to know of each row.
+
+    `where("_is_login = 0")` and `where("_is_login = 1")` are the two logs in that form; stored one by one, laid out
+    by user, they are linked without a shuffle.
+    """
     taken = {"login_id": login_key, **(take or {})}
     cut = clock.whole_seconds if truncate_seconds else F.col
     login_at = logins.where(F.col(by).isNotNull() & F.col(time).isNotNull()).select(
@@ -38,16 +56,24 @@ def link_asof(
         F.lit(1).alias("_is_login"),
         F.col(login_key).alias("_tie"),
         F.struct(*[F.col(old).alias(new) for new, old in taken.items()]).alias("_login"),
+        F.lit(0).cast("long").alias("_alone"),
     )
     trade_at = trades.select(
-        F.struct(*trades.columns).alias("_trade"), F.col(by), cut(time).alias("_at"), F.lit(0).alias("_is_login")
+        F.struct(*trades.columns).alias("_trade"),
+        # Trades without a user have no login to find: each is a group of its own.
+        F.when(F.col(by).isNull(), F.xxhash64(trade_key)).otherwise(F.lit(0).cast("long")).alias("_alone"),
+        F.col(by),
+        cut(time).alias("_at"),
+        F.lit(0).alias("_is_login"),
     )
-    both = trade_at.unionByName(login_at, allowMissingColumns=True)
+    return trade_at.unionByName(login_at, allowMissingColumns=True)
+
+
+def link_timeline(both: DataFrame, by: str = "id", hot: DataFrame | None | bool = True) -> DataFrame:
+    """The trades of a timeline with the columns taken from their logins."""
     both, points = with_lanes(both, [by], ["_at", "_is_login"], hot)
-    if points is None:
-        both = both.withColumn(LANE, F.lit(0))
-    # Trades without a user have no login to find: each is a group of its own.
-    group = F.when(F.col(by).isNull(), F.xxhash64(f"_trade.{trade_key}")).otherwise(F.col(LANE))
+    # A plain column where there is no lane: a computed one would be moved below the union, which then loses its layout.
+    group = F.col("_alone") if points is None else F.when(F.col(by).isNull(), F.col("_alone")).otherwise(F.col(LANE))
     before = (
         Window.partitionBy(by, group)
         .orderBy("_at", "_is_login", F.desc("_tie"))
@@ -62,7 +88,7 @@ def link_asof(
         ends = ends.select(by, LANE, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
         linked = linked.join(F.broadcast(ends), [by, LANE], "left")
         found = F.coalesce("_last", "_carry")
-    return linked.select("_trade.*", *[found[new].alias(new) for new in taken])
+    return linked.select("_trade.*", *[found[new].alias(new) for new in both.schema["_login"].dataType.names])
 
 
 def attach_login(

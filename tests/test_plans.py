@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import hotkeys
 from riskloom.operators.hotkeys import HOT_ROWS_CONF
-from riskloom.operators.joins import link_asof
+from riskloom.operators.joins import link_asof, link_timeline, timeline
 from riskloom.operators.ordered import with_gap
 from riskloom.plans import tables
 from riskloom.plans.trade_features import linked_trades, with_gap_statistics
@@ -111,3 +111,38 @@ def test_csv_round_trip_of_a_declared_log(spark):
     got = {r["rowkey"]: r for r in df.collect()}
     assert got["7"]["time"].hour == 13 and got["7"]["login_id"] == "55" and got["8"]["login_id"] is None
     assert dict(df.dtypes)["time"] == "timestamp_ntz" and got["8"]["is_risk"] == 0
+
+
+def test_laid_out_logs_are_linked_where_they_lie(spark, sf, no_hot):
+    login, trade = fixtures.logins(spark, sf), fixtures.trades(spark, sf)
+    trade = trade.withColumn("id", F.when(F.col("rowkey") % 10 != 0, F.col("id")))
+    both = timeline(trade, login, {"city": "city"})
+    logs = []
+    for is_login in (0, 1):
+        path = scratch_path(spark, "log")
+        part = both.where(F.col("_is_login") == is_login)
+        logs.append(files.write_laid_out(part, f"log_{path.rsplit('-', 1)[1]}", "id", ["_at"], 6, path))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        linked = link_timeline(logs[0].union(logs[1]))
+        assert _shuffles(linked) == 0
+        assert _shuffles(with_gap(logs[1], ["id"], "_at", "_tie", "g")) == 0
+        assert _rounded(linked) == _rounded(link_asof(trade, login, {"city": "city"}))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_model_table_reads_the_logins_twice(spark, sf, no_hot):
+    """Once for the link, once for the facts; the rest are readings of the stored facts."""
+    login, trade = fixtures.logins(spark, sf), fixtures.trades(spark, sf)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for version in ("v1", "v3"):
+            df = tables.transfer_data(login, trade, version)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall("events.parquet", plan)) == 2  # both logs for the link
+            assert _shuffles(df) <= 7  # and one for the facts, written before
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
