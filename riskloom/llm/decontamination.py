@@ -15,7 +15,8 @@ least 0.8, and so is the share of those inside its question, and at least 0.5 of
 
 Words are runs of letters and digits in lower case. Null and empty texts and items match nothing, repeated items are
 reported each, repeated rows each; an empty benchmark or table gives an empty result. Items are read in groups of
-`ITEMS`, with one pass over the documents for each group, so no index outgrows a task.
+`ITEMS`, with one pass over the documents for each group. Only one group's items and index are on the driver or in a task
+at a time.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.rows import documents, table, with_columns_from_text
+from riskloom.session import freeze
 
 WORDS = 5
 OVERLAP = 0.8
@@ -150,22 +153,22 @@ def _different(terms: np.ndarray) -> np.ndarray:
     return terms[terms > 0]
 
 
-def indexes(benchmark: DataFrame, overlap: float = OVERLAP, most: int = ITEMS) -> list[Index]:
-    """One index per group of about `most` items."""
-    items = benchmark.where("text is not null").select("item_id", "text")
-    groups = -(-items.count() // most)
-    group = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, groups)))
-    return [
-        Index([Item(r["item_id"], r["text"]) for r in items.where(group == g).collect()], overlap) for g in range(groups)
-    ]
+def n_groups(benchmark: DataFrame, most: int = ITEMS) -> int:
+    """Groups that the items are dealt into, of about `most` each."""
+    return -(-benchmark.where("text is not null").count() // most)
+
+
+def index_of(benchmark: DataFrame, group: int, groups: int, overlap: float = OVERLAP) -> Index:
+    """The index of one group of items."""
+    items = benchmark.where("text is not null").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
+    return Index([Item(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()], overlap)
 
 
 MATCH = "struct<item_id: bigint, passage: int, bm25: double, overlap: double, question_overlap: double, answer_overlap: double>"
 
 
-def with_matches(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
-    """`docs` with `matches`, the verified items of the index."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def with_matches(docs: DataFrame, shared: Broadcast, keep: list[str] | None = None) -> DataFrame:
+    """`docs` with `matches`, the verified items of the broadcast index."""
 
     def make():
         found = shared.value
@@ -174,23 +177,47 @@ def with_matches(docs: DataFrame, index: Index, keep: list[str] | None = None) -
     return with_columns_from_text(docs, make, f"matches array<{MATCH}>", keep)
 
 
-_NAMES = ("item_id", "passage", "bm25", "overlap", "question_overlap", "answer_overlap")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """One row per document and test item that it holds, with the best passage's number, score and overlaps."""
-    out = None
-    for index in indexes(benchmark, overlap) or [Index([])]:
-        part = with_matches(docs, index, ["doc_id"]).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+_NAMES = ("item_id", "passage", "bm25", "overlap", "question_overlap", "answer_overlap")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """`docs` without the rows that hold a test item."""
-    kept = docs.columns
-    for index in indexes(benchmark, overlap):
-        docs = with_matches(docs, index).where(F.size("matches") == 0).select(*kept)
+def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, most: int = ITEMS) -> DataFrame:
+    """One row per document and test item that it holds, with the best passage's number, score and overlaps.
+
+    A pass over `docs` for each `most` items; a pass's rows are stored before the next index is built.
+    """
+    found, groups = None, n_groups(benchmark, most)
+    for g in range(groups):
+        shared = docs.sparkSession.sparkContext.broadcast(index_of(benchmark, g, groups, overlap))
+        part = with_matches(docs, shared, ["doc_id"]).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+        if groups > 1:
+            part = freeze(part, "matches")
+            shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        none = F.from_json(F.lit("[]"), f"array<{MATCH}>")
+        return docs.select("doc_id", F.explode(none).alias("m")).select("doc_id", "m.*")
+    return found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, most: int = ITEMS) -> DataFrame:
+    """`docs`, columns and values as they are, without the rows that hold a test item.
+
+    A pass for each `most` items; what a pass leaves is stored before the next index is built.
+    """
+    kept, groups = docs.columns, n_groups(benchmark, most)
+    for g in range(groups):
+        shared = docs.sparkSession.sparkContext.broadcast(index_of(benchmark, g, groups, overlap))
+
+        def make(shared=shared):
+            found = shared.value
+            return lambda text: (not found.matches(text),)
+
+        docs = with_columns_from_text(docs, make, "__clean boolean").where("__clean").select(*kept)
+        if g + 1 < groups:
+            docs = freeze(docs, "decontaminated")
+            shared.unpersist()
     return docs
 
 

@@ -249,6 +249,17 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
     return with_columns_from_text(docs, make, fields, keep)
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs`, columns and values as they are, without the rows that the model predicts to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        found = shared.value
+        return lambda text: (found.score_text(text)[0] >= 0.5,)
+
+    return with_columns_from_text(docs, make, "__toxic boolean").where("not __toxic").select(*docs.columns)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(~held_out("doc_id")).select("doc_id", "toxic"))

@@ -5,12 +5,14 @@ import hashlib
 import io
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from riskloom import session
 from riskloom.llm import decontamination, licenses, secrets, toxicity, warc
 
 
@@ -186,9 +188,30 @@ def test_archives(spark, tmp_path):
 @pytest.mark.parametrize("which", ["odd", "small", "nothing"])
 def test_pipeline_stages(spark, which, request):
     docs = request.getfixturevalue(which)
+    for name in ("score", "predicted", "matches", "text_", "cell", "root"):  # names that operators use
+        docs = docs.withColumn(name, F.lit(f"my {name}"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == docs.columns and out.count() <= docs.count(), name
+        assert out.columns == docs.columns, name
+        both = [c for c in docs.columns if name != "secret_scan" or c not in ("text", "n_chars")]
+        rows = [Counter(map(tuple, df.select(both).collect())) for df in (out, docs)]
+        assert rows[0] <= rows[1], name  # whole rows, none made up
         docs = out
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert encoded.count() == docs.count() and {"doc_id", "n_tokens", "ids"} <= set(encoded.columns)
+
+
+def test_groups_of_items_find_the_same(spark, small):
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    n = benchmark.count()
+    one = sorted(map(tuple, decontamination.contaminated(small, benchmark).select("doc_id", "item_id").collect()))
+    many = decontamination.contaminated(small, benchmark, most=max(1, n // 4)).select("doc_id", "item_id").collect()
+    assert one and sorted(map(tuple, many)) == one
+    left = sorted(r["doc_id"] for r in decontamination.decontaminate(small, benchmark, most=max(1, n // 3)).collect())
+    assert left == sorted({r["doc_id"] for r in small.collect()} - {d for d, _ in one})
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and len(list((tmp_path / "riskloom").iterdir())) == 1
