@@ -1,7 +1,7 @@
 """Sampling, training and scoring.
 
-`TREES` is the one thing that is smaller here than in `riskloom.model.estimators.FULL_MODEL` (1000 trees): all
-queries share it, and those that score share one fit per session.
+The queries that fit and score share one fit of the full model (`estimators.FULL_MODEL`, 1000 trees) per session. Those
+that fit many models (cross-validation, grid search, learning curve: 3, 13 and 30 fits) grow `TREES` trees in each.
 """
 
 from pyspark.ml import PipelineModel
@@ -42,7 +42,8 @@ def _model(spark: SparkSession, d: str) -> PipelineModel:
     at = (spark.sparkContext.applicationId, d)
     if at not in _models:
         train = _model_table(spark, d, "train")
-        _models[at] = scoring.fit(_boosted(train), train)
+        full = estimators.boosted_trees(**estimators.FULL_MODEL)
+        _models[at] = scoring.fit(estimators.risk_pipeline(train, full), train)
     return _models[at]
 
 
