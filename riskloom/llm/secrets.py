@@ -6,9 +6,12 @@ of each kind (`Settings.examples`, by hash) a prefix tree over character classes
 long as the Hoeffding bound finds their stop and transition shares compatible (ALERGIA); the result is a probabilistic
 automaton per kind. One more, from a sample of ordinary runs of characters, is the background.
 
-Every candidate, a run of `[A-Za-z0-9+/_.=-]` of 16 characters or more with a digit and a letter in it that no base
-span touches, is scored by the best kind's log-likelihood less the background's, per character. It becomes a span of kind
-`format` from the score that all but a twentieth of that kind's examples reach, and at least `Settings.margin`.
+Every candidate, a run of `[A-Za-z0-9+/_.=-]` of 6 characters or more (the least that a kind has) with a digit and a
+letter in it, is scored by the best kind's log-likelihood less the background's. It becomes a span of kind `format` if
+that is, per character, what all but a twentieth of the kind's examples reach, and at least `Settings.margin`; and,
+in all, at least `Settings.evidence`, so a short run needs a clearer form than a long one. A run that holds base spans
+needs the margin and the evidence only, and if it fails, what the base spans leave of it are candidates. A likelihood depends on the
+classes of a run's characters only, so it is worked out once for each sequence of classes.
 
 Offsets count code points, ends are exclusive; spans of one kind never overlap. Null and empty texts have no
 spans; without credentials nothing is learnt and the base spans stand alone. Rows are independent of each other
@@ -21,7 +24,7 @@ import dataclasses
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable
 from itertools import accumulate
@@ -29,7 +32,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.rows import documents, with_columns_from_text
+from riskloom.llm.rows import Memo, documents, with_columns_from_text
+from riskloom.session import freeze
 
 # Fixed patterns and least lengths, in the order in which kinds are listed.
 ASSIGN = re.compile(
@@ -39,18 +43,19 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")  # 20 characters or more
 HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 
-_RUN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
-_PLAIN = re.compile("[A-Za-z0-9+/_.=-]{6,}")
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_RUN = re.compile("[A-Za-z0-9+/_.=-]{6,}")
+_LEAST = 6
+_CLASSES = 10  # of characters: digits, three of letters, six marks
 _NAMED = re.compile("passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
     examples: int = 400  # different values per kind, and ordinary runs
-    longest: int = 256  # characters of an example that are learnt from
+    longest: int = 256  # characters of an example; longer values are not learnt from
     alpha: float = 0.05  # of the Hoeffding bound
     margin: float = 0.5  # nats per character over the background
+    evidence: float = 9.2  # nats over the background in all: odds of ten thousand to one
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -70,11 +75,18 @@ def _touching(spans: list[tuple]) -> Callable[[int, int], bool]:
     return lambda start, end: reach[bisect_left(starts, end)] > start
 
 
-def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of the runs that no span in `taken` touches."""
-    touched = _touching(taken)
-    runs = (m for m in _RUN.finditer(text) if not touched(*m.span()))
-    return [(*m.span(), m[0]) for m in runs if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
+# Each character as the first one of its class.
+SHAPE = {c: ord("0" if c < 58 else "A" if c < 91 else "a" if c < 103 else "g") for c in [*range(48, 58), *range(65, 91), *range(97, 123)]}
+
+
+def _rest(start: int, end: int, taken: list[tuple]) -> list[tuple[int, int]]:
+    """What the spans in `taken`, which stand by start, leave of a stretch: parts of _LEAST characters or more."""
+    out, at = [], start
+    for s, e, *_ in taken:
+        if e > at and s < end:
+            out.append((at, s))
+            at = max(at, e)
+    return [(s, e) for s, e in [*out, (at, end)] if e - s >= _LEAST]
 
 
 def _class(c: str) -> tuple[str, int]:
@@ -168,38 +180,74 @@ class Automaton:
         self.took, self.ended, self.came = ([part[p] for p in red] for part in (self.took, self.ended, self.came))
 
     def log_likelihood(self, text: str) -> float:
-        """Of the string with its end. An unseen step has the share of one example in the examples seen and restarts."""
+        """Of the string with its end: half an example is added to each class and to the end, so that the shares of all
+        add up to one. A step that no example took starts again."""
         state, total = 0, 0.0
         for c in text:
             name, size = _class(c)
-            total += math.log((self.took[state][name] + 0.5) / (self.came[state] + 3) / size)
+            total += math.log((self.took[state][name] + 0.5) / (self.came[state] + (_CLASSES + 1) / 2) / size)
             state = self.out[state].get(name, 0)
-        return total + math.log((self.ended[state] + 0.5) / (self.came[state] + 3))
+        return total + math.log((self.ended[state] + 0.5) / (self.came[state] + (_CLASSES + 1) / 2))
 
 
 class Model:
     """Automata of the kinds and of the background, and the score from which each kind accepts."""
 
     def __init__(self, values: dict[str, list[str]], plain: list[str], settings: Settings):
-        cut = lambda texts: [t[: settings.longest] for t in sorted(texts)]
+        self.settings = settings
         self.kinds: dict[str, tuple[Automaton, float]] = {}
-        self.plain = Automaton(cut(plain), settings.alpha)
+        self.plain = Automaton(sorted(plain), settings.alpha)
         for kind, texts in sorted(values.items()):
-            automaton = Automaton(cut(texts), settings.alpha)
-            scores = sorted(self._score(automaton, t) for t in cut(texts))
+            automaton = Automaton(sorted(texts), settings.alpha)
+            scores = sorted(self._score(automaton, t) / len(t) for t in texts)
             self.kinds[kind] = (automaton, max(settings.margin, scores[len(scores) // 20]))
+        self.known = Memo(self._accepts, 200_000)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.known = Memo(self._accepts, 200_000)
 
     def _score(self, automaton: Automaton, value: str) -> float:
-        return (automaton.log_likelihood(value) - self.plain.log_likelihood(value)) / len(value)
+        return automaton.log_likelihood(value) - self.plain.log_likelihood(value)
+
+    def _accepts(self, shape: str) -> tuple[bool, bool]:
+        """Whether a run is a credential by itself, and whether it is one if it holds a base span."""
+        if "0" not in shape or not ("a" in shape or "g" in shape or "A" in shape):
+            return False, False
+        scores = [(self._score(automaton, shape), least) for automaton, least in self.kinds.values()]
+        clear = [(score, least) for score, least in scores if score >= self.settings.evidence]
+        return tuple(any(score >= x * len(shape) for score, x in found) for found in (clear, [(s, self.settings.margin) for s, _ in clear]))
 
     def accepts(self, value: str) -> bool:
-        return any(self._score(automaton, value) >= least for automaton, least in self.kinds.values())
+        return self.known[value.translate(SHAPE)][0]
+
+    def formats(self, text: str, base: list[tuple]) -> list[tuple]:
+        """Spans of kind `format`."""
+        if not self.kinds:
+            return []
+        starts, reach = [s[0] for s in base], [0, *accumulate((s[1] for s in base), max)]
+        out = []
+        for run in _RUN.finditer(text):
+            start, end = run.span()
+            # Base spans from the first that may reach into the run to the last that begins in it.
+            near = base[max(bisect_right(reach, start) - 1, 0) : bisect_left(starts, end)]
+            near = [s for s in near if s[1] > start]
+            if not near:
+                if self.known[run[0].translate(SHAPE)][0]:
+                    out.append((start, end, "format", run[0]))
+            elif not any(s[0] <= start and s[1] >= end for s in near):  # else a base span says it all
+                whole = self.known[run[0].translate(SHAPE)][1]
+                parts = [(start, end)] if whole else [p for p in _rest(start, end, near) if self.accepts(text[slice(*p)])]
+                out += [(s, e, "format", text[s:e]) for s, e in parts]
+        return out
 
     def spans(self, text: str) -> tuple[list[tuple], list[tuple]]:
         """Base spans and all spans, (start, end, kind, value) each, by start and kind."""
         base = base_spans(text)
-        more = [(s, e, "format", v) for s, e, v in candidates(text, base) if self.accepts(v)]
-        return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+        return base, sorted(base + self.formats(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
@@ -209,11 +257,12 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         return lambda text: ([{"kind": k, "value": v} for _, _, k, v in base_spans(text)],)
 
     found = with_columns_from_text(docs.select("text"), find, "found array<struct<kind: string, value: string>>", [])
-    different = found.select(F.explode("found").alias("f")).select("f.*").distinct()
+    different = freeze(found.select(F.explode("found").alias("f")).select("f.*").distinct(), "credentials")
+    different = different.where(F.length("value") <= settings.longest)
     values: dict[str, list[str]] = {}
     for kind in KINDS[:3]:
         rows = different.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(settings.examples)
-        texts = [r["value"] for r in rows.select(F.substring("value", 1, settings.longest).alias("value")).collect()]
+        texts = [r["value"] for r in rows.collect()]
         if texts:
             values[kind] = texts
     if not values:
@@ -222,7 +271,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     def words():
         def work(text: str) -> tuple:
             touched = _touching(base_spans(text))
-            runs = {m[0] for m in _PLAIN.finditer(text) if not touched(*m.span())}
+            runs = {m[0] for m in _RUN.finditer(text) if not touched(*m.span())}
             return (sorted(runs, key=lambda r: hashlib.md5(r.encode()).digest())[:20],)
 
         return work
@@ -230,7 +279,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.examples).distinct()
     few = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     plain = with_columns_from_text(few, words, "runs array<string>", []).select(F.explode("runs").alias("run")).distinct()
-    plain = plain.orderBy(F.xxhash64("run"), "run").limit(settings.examples).select(F.substring("run", 1, settings.longest))
+    plain = plain.where(F.length("run") <= settings.longest).orderBy(F.xxhash64("run"), "run").limit(settings.examples)
     return Model(values, [r[0] for r in plain.collect()], settings)
 
 

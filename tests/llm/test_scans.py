@@ -80,6 +80,33 @@ def test_grammar_tells_formats():
     automaton = model.kinds["access"][0]
     assert automaton.log_likelihood(keys[0]) > automaton.log_likelihood(keys[0][::-1])
     assert model.accepts("0a9b8c7d6e5f4a3b2c1d0e") and not model.accepts("waterleingonterle")
+    for state in range(len(automaton.out)):  # the shares of all classes and of the end
+        total = sum(automaton.took[state][c] + 0.5 for c in "0agA+/_.=-") + automaton.ended[state] + 0.5
+        assert total == pytest.approx(automaton.came[state] + 5.5)
+    # A run around a base span, what a base span leaves, short runs and such without digits or letters.
+    token, tail = "ghp_" + hexes[0] + "XYZ", "0a9b8c7d6e5f4a3b"
+    texts = [f"a {token}, b", f"-{'-' * 400}{hexes[1]}{'-' * 400}{tail}", f"{tail} 0a9b8c", "2024-01-01 0123456789 conversation", hexes[2] + " end"]
+    for text in texts:
+        base, spans = model.spans(text)
+        due = set()
+        for m in re.finditer("[A-Za-z0-9+/_.=-]{6,}", text):
+            inside = [s for s in base if s[0] < m.end() and s[1] > m.start()]
+            if any(s[0] <= m.start() and s[1] >= m.end() for s in inside):
+                continue
+
+            def passes(value, alone):
+                if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+                    return False
+                scores = [(a.log_likelihood(value) - model.plain.log_likelihood(value), least) for a, least in model.kinds.values()]
+                return any(x >= 9.2 and x >= (least if alone else 0.5) * len(value) for x, least in scores)
+
+            if passes(m[0], not inside):
+                due.add((m.start(), m.end()))
+            elif inside:
+                free = "".join("\0" if any(s[0] <= i < s[1] for s in inside) else text[i] for i in range(m.start(), m.end()))
+                due |= {(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[^\0]{6,}", free) if passes(x[0], True)}
+        assert {s[:2] for s in spans if s[2] == "format"} == due
+    assert [s[2] for s in model.spans(texts[0])[1]] == ["format", "hex"] and model.spans(texts[3])[1] == []
 
 
 def test_licenses(spark, odd, nothing):
