@@ -11,17 +11,19 @@ medoid that, once inside the radius, goes on as long as it finds further vectors
 by the cosine in double precision. A pair that shares several shards is counted in the first of them only, so degrees
 add up, and of the links of a shard a spanning forest is kept: no row ever holds a group's pairs.
 
-The audit searches a bounded sample of vectors by brute force through all rows and compares degrees; while the
-recall is below `recall`, the whole is done again with one more cluster per vector and a wider beam.
+The audit searches bounded samples of vectors (of all, and of linked ones with few and with many links) by brute force
+through all rows; while the mean recall is below `recall`, the whole is done again with one more cluster per vector
+and a wider beam. If the widest settings do not reach it either, that is an error: no result goes out unaudited.
 
-Vectors that are null, of length zero or hold null or non-finite components, and such of another dimension than the
-first valid one's majority, link with nothing. Null ids count as larger than all others; repeated rows of an id are
+Vectors that are null, of length zero or hold null or non-finite components link with nothing. Vectors of different dimensions
+do not link; each dimension is searched by itself, one after the other. Null ids count as larger than all others; repeated rows of an id are
 rows of their own that link with each other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -267,8 +269,19 @@ def _linked(cluster: int, nodes: pa.Array, queries: pa.Array, settings: Settings
 
 
 def audited_recall(vectors: DataFrame, degrees: DataFrame, settings: Settings) -> float:
-    """Found share of the links of a bounded sample of vectors, against brute force over all rows."""
-    few = vectors.select("vec", "head").orderBy(F.xxhash64("head", F.lit(1))).limit(settings.audit).collect()
+    """Mean over vectors of the share of their links that was found, against brute force over all rows.
+
+    Two samples of at most `Settings.audit` vectors each are asked about: of all, and of those for which links were found, half of
+    these with few links and half with many, so that neither one large group nor the unlinked mass hides the rest. 1 if
+    none of them has a link.
+    """
+    order = F.xxhash64("head", F.lit(1))
+    linked = vectors.join(degrees.where("degree > 0"), "head").select("vec", "head", "degree")
+    middle = linked.agg(F.percentile_approx("degree", 0.5)).first()[0] or 0
+    parts = [vectors.select("vec", "head").orderBy(order).limit(settings.audit)]
+    for side in (F.col("degree") <= middle, F.col("degree") > middle):
+        parts.append(linked.where(side).select("vec", "head").orderBy(order).limit(settings.audit // 2))
+    few = list({r["head"]: r for part in parts for r in part.collect()}.values())
     if not few:
         return 1.0
     heads = np.array([r["head"] for r in few])
@@ -286,24 +299,38 @@ def audited_recall(vectors: DataFrame, degrees: DataFrame, settings: Settings) -
         yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(total)], names=["head", "due"])
 
     due = vectors.select("vec", "head", "n").mapInArrow(compare, "head long, due long").groupBy("head").agg(F.sum("due").alias("due"))
-    both = due.join(degrees, "head", "left").agg(F.sum("due"), F.sum(F.least("due", F.coalesce("degree", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    share = F.least(F.coalesce("degree", F.lit(0)) / F.col("due"), F.lit(1.0))
+    mean = due.where("due > 0").join(degrees, "head", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if mean is None else mean
+
+
+def _audited_links(groups: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links and degrees of vectors of one dimension; with wider settings until the audit is content.
+
+    Raises RuntimeError if it is not at the widest (eight shards per vector).
+    """
+    while True:
+        found = freeze(links(groups.select("vec", "head", "n"), settings), "links")
+        degrees = found.groupBy(F.col("a").alias("head")).agg(F.sum("degree").alias("degree"))
+        recall = audited_recall(groups, degrees, settings)
+        if recall >= settings.recall:
+            return found, degrees
+        if settings.overlap >= 8:
+            raise RuntimeError(f"recall of {recall:.3f} instead of {settings.recall}; give larger settings")
+        settings = dataclasses.replace(settings, overlap=settings.overlap + 1, beam=settings.beam * 2)
 
 
 def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of `rows` (vec_id, embedding)."""
     packed = freeze(distinct_vectors(rows), "packed")
     valid = packed.where("vec is not null")
-    length = valid.groupBy(F.octet_length("vec").alias("l")).count().orderBy(F.desc("count"), "l").first()
-    usual = F.octet_length("vec") == (length["l"] if length else 0)
-    groups = valid.where(usual).groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    groups = valid.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     groups = freeze(groups.withColumn("head", F.xxhash64("vec", "least")), "vectors")
-    while True:
-        found = freeze(links(groups.select("vec", "head", "n"), settings), "links")
-        degrees = found.groupBy(F.col("a").alias("head")).agg(F.sum("degree").alias("degree"))
-        if settings.overlap >= 8 or audited_recall(groups, degrees, settings) >= settings.recall:
-            break
-        settings = dataclasses.replace(settings, overlap=settings.overlap + 1, beam=settings.beam * 2)
+    # Vectors of different dimensions have no cosine; each dimension (mostly there is one) is searched by itself.
+    size = F.octet_length("vec")
+    sizes = [r["size"] for r in groups.groupBy(size.alias("size")).count().where("count > 1").orderBy("size").collect()]
+    parts = [_audited_links(groups.where(size == n), settings) for n in sizes] or [_audited_links(groups.limit(0), settings)]
+    found, degrees = (reduce(DataFrame.unionAll, side) for side in zip(*parts))
     roots = components(found, "a", "b").withColumnRenamed("node", "head")
     named = groups.join(degrees, "head", "left").join(roots, "head", "left").withColumn("root", F.coalesce("root", "head"))
     named = freeze(named.select("vec", "n", "least", "root", "degree"), "named")

@@ -96,16 +96,16 @@ def test_embeddings(spark):
     base = rng.normal(size=(300, 16))
     near = np.repeat(base[:1], 80, axis=0) + rng.normal(size=(80, 16)) * 0.03
     rows = [list(map(float, v)) for v in [*base, *near, base[1], base[1], base[2] * 5]]
-    odd = [None, [0.0] * 16, [float("nan")] * 16, [float("inf")] * 16, [None] * 16, [], [1.0, 2.0]]
+    odd = [None, [0.0] * 16, [float("nan")] * 16, [float("inf")] * 16, [None] * 16, [], [1.0, 2.0], [2.0, 4.1], [2.0, -1.0], [1.0], [5.0], [1.0] * 3]
     ids = [*range(len(rows)), *range(1000, 1000 + len(odd)), None]
     rows = [*rows, *odd, rows[3]]
     df = spark.createDataFrame([(i, v, "x") for i, v in zip(ids, rows)], "vec_id long, embedding array<double>, n_links string")
     unit = []
     for v in rows:
-        a = np.array(v if v and len(v) == 16 and None not in v else [0.0] * 16)
+        a = np.array(v if v and None not in v else [0.0])
         n = np.linalg.norm(a) if np.isfinite(a).all() else 0
         unit.append(a / n if n > 0 else None)
-    linked = [(i, j) for i, a in enumerate(unit) for j, b in enumerate(unit[:i]) if a is not None and b is not None and a @ b >= 0.95]
+    linked = [(i, j) for i, a in enumerate(unit) for j, b in enumerate(unit[:i]) if a is not None and b is not None and len(a) == len(b) and a @ b >= 0.95]
     degree = [sum(i in pair for pair in linked) for i in range(len(rows))]
     due = {(i, d, c, i == c) for i, d, c in zip(ids, degree, classes(ids, linked))}
     for settings in (embedding_graph.Settings(), embedding_graph.Settings(shard=60, sample=128, audit=400, recall=1.0)):
@@ -114,6 +114,13 @@ def test_embeddings(spark):
     assert embedding_graph.near_duplicates(df.where("false")).count() == 0
 
 
+def test_an_audit_that_fails_is_an_error(spark):
+    rows = [(i, [1.0, i / 1000]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_graph.near_duplicates(df, embedding_graph.Settings(overlap=8, recall=1.1))
+
+
 def test_search_finds_what_brute_force_finds():
     rng = np.random.default_rng(7)
     v = rng.normal(size=(500, 8))
