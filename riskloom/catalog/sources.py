@@ -112,11 +112,8 @@ def s4_parquet(spark, d):
 
 @query("s4_laid_out_logs", sql("SELECT rowkey, id, login_id FROM linked", "linked"))
 def s4_laid_out(spark, d):
-    """Both logs as tables laid out by user and sorted by time, linked where they lie."""
-    both = timeline(trades(spark, d), logins(spark, d))
-    logs = []
-    for is_login in (0, 1):
-        path = scratch_path(spark, "log")
-        name = f"riskloom_{path.rsplit('-', 1)[1]}"
-        logs.append(files.write_laid_out(both.where(F.col("_is_login") == is_login), name, "id", ["_at"], path=path))
-    return link_timeline(logs[0].union(logs[1])).select("rowkey", "id", "login_id")
+    """Both logs as one table laid out by user and sorted by time, linked where they lie."""
+    path = scratch_path(spark, "log")
+    name = f"riskloom_{path.rsplit('-', 1)[1]}"
+    laid_out = files.write_laid_out(timeline(trades(spark, d), logins(spark, d)), name, "id", ["_at"], path=path)
+    return link_timeline(laid_out).select("rowkey", "id", "login_id")

@@ -45,8 +45,8 @@ def timeline(
 ) -> DataFrame:
     """Both logs in one form: what `link_timeline` wants to know of each row.
 
-    `where("_is_login = 0")` and `where("_is_login = 1")` are the two logs in that form; stored one by one, laid out
-    by user, they are linked without a shuffle.
+    Stored as one table laid out by user (`files.write_laid_out`), the logs are linked without a shuffle. Do not store them
+    as two and union these: a union of bucketed scans claims the buckets' layout but does not bring them together (Spark 4.1.2).
     """
     taken = {"login_id": login_key, **(take or {})}
     cut = clock.whole_seconds if truncate_seconds else F.col
@@ -72,7 +72,6 @@ def timeline(
 def link_timeline(both: DataFrame, by: str = "id", hot: DataFrame | None | bool = True) -> DataFrame:
     """The trades of a timeline with the columns taken from their logins."""
     both, points = with_lanes(both, [by], ["_at", "_is_login"], hot)
-    # A plain column where there is no lane: a computed one would be moved below the union, which then loses its layout.
     group = F.col("_alone") if points is None else F.when(F.col(by).isNull(), F.col("_alone")).otherwise(F.col(LANE))
     before = (
         Window.partitionBy(by, group)

@@ -77,8 +77,8 @@ def write_laid_out(
 ) -> DataFrame:
     """A log as a table laid out by key and sorted, and the table read back.
 
-    Rows of a key share a bucket and are sorted within it, so that later work per key begins without a shuffle: two
-    logs laid out with the same number of buckets are linked, and gaps and statistics found, where they lie.
+    Rows of a key share a bucket and are sorted within it, so that later work per key begins without a shuffle: gaps,
+    statistics per key and, for a table of both logs (`joins.timeline`), the link are found where the rows lie.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
