@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.catalog import QUERIES
 from riskloom.operators import hotkeys
 from riskloom.operators.hotkeys import HOT_ROWS_CONF
 from riskloom.operators.joins import link_asof, link_timeline, timeline
@@ -145,3 +146,22 @@ def test_model_table_reads_the_logins_twice(spark, sf, no_hot):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fan_in_joins_user_features_onto_trade_features(spark, tmp_path):
+    """Login features of V3 and trade features of V1 in one row per linked trade; trades of users without features go."""
+    rows = [
+        (1, 7, "click", 1.25, "a3", "2024-01-01 10:00:00"),
+        (2, 7, "error", 2.5, "a3", "2024-01-01 11:00:00"),
+        (3, 7, "purchase", 150.0, "a1", "2024-01-01 12:00:30"),
+        (4, 8, "click", 1.0, "a2", "2024-01-01 10:00:00"),  # no unsuccessful login: no features
+        (5, 8, "purchase", 50.0, "a1", "2024-01-01 12:00:00"),
+        (6, 9, "purchase", 50.0, "a1", "2024-01-01 12:00:00"),  # no login
+        (7, None, "purchase", 50.0, "a1", "2024-01-01 12:00:00"),
+    ]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, ts string")
+    events.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = QUERIES["j10_fan_in"](spark, str(tmp_path)).collect()
+    assert (got["rowkey"], got["id"], got["is_risk"], got["st"], got["hours"]) == (3, 7, 1, 3630, 12)
+    assert (got["timelong_max"], got["type_Counts"], got["result_no1_Counts"], got["device_scale"]) == (250, 1, 1, 1.0)
+    assert "time" not in got and "device_Counts" not in got
