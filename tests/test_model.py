@@ -127,3 +127,19 @@ def test_v2_and_undersampled_tables_end_to_end(spark, sf):
     assert scoring.predict(model, unlabelled).count() == unlabelled.count() == v2.count() > 0
     even = validation.stored(sampling.undersample(v2))
     assert scoring.predict(scoring.fit(small(even, 1), even), v2).count() == v2.count()
+
+
+def test_forest_keeps_the_rows_nodes_and_grows_the_same_trees(spark):
+    rows = spark.range(400).select(
+        F.col("id").alias("rowkey"),
+        (F.col("id") % 37).alias("a"),
+        (F.col("id") % 11).alias("b"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("c"),
+        (F.col("id") * 7919 % 101 < 30).cast("int").alias("is_risk"),
+    )
+    grown = []
+    for forest in (estimators.random_forest(), estimators.random_forest().setCacheNodeIds(False)):
+        grown.append(scoring.fit(estimators.risk_pipeline(rows, forest), rows).stages[-1])
+    assert estimators.random_forest().getCacheNodeIds()
+    a, b = ([t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in grown)
+    assert len(a) == 20 and a == b
