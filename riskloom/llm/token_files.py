@@ -71,14 +71,6 @@ class Encoder:
     def _chunk(self, chunk: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, word_bpe.words_of(chunk)))
 
-    def learn(self, texts: list[str]) -> None:
-        """Merge the new words of several texts side by side; `encode` then finds them."""
-        chunks = {c for t in texts for c in t.encode().split()}
-        new = {w for c in chunks if c not in self.chunks and c not in self.chunks.older for w in word_bpe.words_of(c)}
-        new = [w for w in new if w not in self.words and w not in self.words.older and word_bpe.is_short(w)]
-        for word, ids in zip(new, self.bpe.merge_all([w.decode().lower().encode() for w in new]) if new else ()):
-            self.words.put(word, struct.pack(f"<{len(ids)}I", *ids))
-
     def encode(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return self.whole(text)
@@ -114,6 +106,16 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
+def frames_of(batches, encoder: Encoder, packer: zstandard.ZstdCompressor, end: int):
+    """Batches of id, tie and text as batches of id, tie, tokens and frame, a lot of texts at a time."""
+    tail = np.array([end], "<u4").tobytes()
+    for batch in batches:
+        for at, texts in word_bpe.lots(batch.column(2)):
+            ids = [encoder.encode(t) + tail for t in texts]
+            made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:2], *made], names=["doc_id", "__tie", "n_tokens", "frame"])
+
+
 def write_files(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
     """Write `docs` (doc_id, text) as a file set."""
     spark = docs.sparkSession
@@ -122,14 +124,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end: int = END) -> None
     name = hashlib.sha256(raw).hexdigest()
 
     def compress(batches):
-        encoder, tail = load(path), np.array([end], "<u4").tobytes()
-        packer = zstandard.ZstdCompressor(dict_data=_dictionary(raw))
-        for batch in batches:
-            for at, texts in word_bpe.lots(batch.column(2)):
-                encoder.learn(texts)
-                ids = [encoder.encode(t) + tail for t in texts]
-                made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:2], *made], names=["doc_id", "__tie", "n_tokens", "frame"])
+        return frames_of(batches, load(path), zstandard.ZstdCompressor(dict_data=_dictionary(raw)), end)
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__tie"), "text")
     frames = keyed.mapInArrow(compress, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __tie long, n_tokens long, frame binary")

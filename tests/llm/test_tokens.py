@@ -6,9 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 from tokenizers import Tokenizer
 
 from riskloom.llm import byte_bpe, token_counts, token_files
@@ -106,3 +108,17 @@ def test_wrong_dictionary_is_refused(spark, small, tmp_path):
         token_files.read_document(spark, two, first)
     with pytest.raises(Exception, match="needs dictionary"):
         token_files.read_files(spark, two).collect()
+
+
+def test_token_files_cut_each_new_chunk_once(monkeypatch):
+    texts = ["Apples and pears-apples,", "and pears-apples, ÄÖ 12", None, ""]
+    encoder, cut = token_files.Encoder(P.path(token_files.TOKENIZER)), []
+    words_of = token_files.word_bpe.words_of
+    monkeypatch.setattr(token_files.word_bpe, "words_of", lambda chunk: cut.append(chunk) or words_of(chunk))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(range(4), pa.int64()), pa.array(texts)], names=["doc_id", "__tie", "text"])
+    (got,) = token_files.frames_of([batch], encoder, zstandard.ZstdCompressor(), 1)
+    library = Tokenizer.from_file(P.path(token_files.TOKENIZER))
+    for text, n, frame in zip(texts, got["n_tokens"].to_pylist(), got["frame"].to_pylist()):
+        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), "<u4").tolist()
+        assert ids == [*library.encode(text or "", add_special_tokens=False).ids, 1] and n == len(ids)
+    assert len(cut) == len(set(cut)) == 5
