@@ -60,6 +60,7 @@ class Memo(dict):
 
     def put(self, key, value) -> None:
         if len(self) >= self.limit:
+            self.older = {}  # let go before the copy is made
             self.older = dict(self)
             self.clear()
         self[key] = value

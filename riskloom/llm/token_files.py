@@ -56,7 +56,7 @@ class Encoder:
     def __init__(self, path: str):
         self.library, self.bpe = tokenizers.Tokenizer.from_file(path), word_bpe.load(path)
         self.model, self.letters, self.added = self.library.model.tokenize, self.bpe.spelt, list(self.bpe.added)
-        self.words, self.chunks = Memo(self._word), Memo(self._chunk, 1_000_000)
+        self.words, self.chunks = Memo(self._word), Memo(self._chunk, 800_000)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
