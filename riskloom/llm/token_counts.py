@@ -66,11 +66,21 @@ def read_cache(spark, cache: str, digest: str) -> DataFrame:
     """Counts of one tokenizer, one row per content digest."""
     try:
         stored = spark.read.schema(SCHEMA).parquet(cache)
-    except AnalysisException:  # no cache yet
-        stored = spark.createDataFrame([], SCHEMA)
+    except AnalysisException:  # no cache yet; nothing of it is ever run
+        stored = spark.createDataFrame([], SCHEMA).where(F.lit(False))
     return stored.where(F.col("tokenizer_digest") == digest).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def distinct_misses(docs: DataFrame, stored: DataFrame, text: str = "text") -> DataFrame:
+    """Digest and text of each text that `stored` has no digest of, once.
+
+    Copies are put together before the join, so in front of the shuffle: after it a text has a row per input partition at most.
+    """
+    content = F.coalesce(docs[text], F.lit(""))
+    texts = docs.select(F.sha2(content, 256).alias("content_digest"), content.alias("text"))
+    return texts.groupBy("content_digest").agg(F.first("text").alias("text")).join(stored, "content_digest", "left_anti")
+
+
 def count_tokens(
     docs: DataFrame, path: str, cache: str, limit: int = 1024, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -80,12 +90,7 @@ def count_tokens(
     keyed = docs.select(
         docs[key], F.sha2(content, 256).alias("content_digest"), F.octet_length(content).cast("long").alias("n_bytes")
     )
-    texts = docs.select(F.sha2(content, 256).alias("content_digest"), content.alias("text"))
-    misses = (
-        texts.join(read_cache(spark, cache, digest), "content_digest", "left_anti")
-        .groupBy("content_digest")
-        .agg(F.first("text").alias("text"))
-    )
+    misses = distinct_misses(docs, read_cache(spark, cache, digest), text)
 
     def make():
         counter = load(path)

@@ -72,6 +72,30 @@ def test_counts_and_cache(spark, odd, nothing, tmp_path):
     assert token_counts.count_tokens(odd, path, cache + "2").count() == len(due)
 
 
+@pytest.mark.parametrize("filled", [False, True])
+def test_copies_meet_before_the_shuffle(spark, tmp_path, capsys, filled):
+    cache = str(tmp_path / "cache")
+    docs = spark.createDataFrame([("one",)] * 40 + [(None,)] * 20 + [("",)] * 20 + [("two",)], "text string").repartition(4)
+    if filled:
+        known = hashlib.sha256(b"two").hexdigest()
+        spark.createDataFrame([("t", known, 1), ("other", hashlib.sha256(b"one").hexdigest(), 1)], token_counts.SCHEMA).write.parquet(cache)
+    misses = token_counts.distinct_misses(docs, token_counts.read_cache(spark, cache, "t"))
+    assert sorted(r["text"] for r in misses.collect()) == ["", "one", *["two"] * (not filled)]
+    at = str(tmp_path / "docs")
+    docs.write.parquet(at)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a cache of many texts
+    try:
+        capsys.readouterr()
+        token_counts.distinct_misses(spark.read.parquet(at), token_counts.read_cache(spark, cache, "t")).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out.splitlines()
+    read = next(i for i, line in enumerate(plan) if "FileScan parquet [text" in line)
+    dealt = max(i for i, line in enumerate(plan[:read]) if "Exchange hashpartitioning(content_digest" in line)
+    assert "partial_first" in plan[dealt + 1]
+    assert filled or not any("ExistingRDD" in line for line in plan)  # no Python workers for a cache that is not there
+
+
 def test_files_round_trip(spark, odd, nothing, small, tmp_path):
     path = P.path(token_files.TOKENIZER)
     library = Tokenizer.from_file(path)
