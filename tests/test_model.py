@@ -143,3 +143,49 @@ def test_forest_keeps_the_rows_nodes_and_grows_the_same_trees(spark):
     assert estimators.random_forest().getCacheNodeIds()
     a, b = ([t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in grown)
     assert len(a) == 20 and a == b
+
+
+@pytest.mark.parametrize("settings", [{}, {"row_share": 0.5, "depth": 3, "column_share": 0.34}, {"row_share": 1.0, "column_share": 1.0}])
+def test_small_tables_grow_the_librarys_trees_without_a_job_per_level(spark, settings):
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = spark.range(0, 27_000, 1, 1).select(
+        F.col("id").alias("rowkey"),
+        (F.col("id") * 7919 % 1009 / 7).alias("a"),
+        (F.col("id") % 11 - 5).alias("b"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("c"),
+        F.lit(4).alias("d"),
+        ((F.col("id") * 104_729 % 997 + F.col("id") % 11 * 30) % 1000 < 300).cast("int").alias("is_risk"),
+    )
+    for part, trees in ((rows, 6), (rows.where("rowkey < 700"), 12)):  # bins from a sample, and from all rows
+        own = estimators.boosted_trees(trees=trees, **settings)
+        library = GBTClassifier()
+        for param in own.params:
+            if own.isSet(param):
+                library.set(library.getParam(param.name), own.getOrDefault(param))
+        spark.sparkContext.setJobGroup(own.uid, "")
+        mine = scoring.fit(estimators.risk_pipeline(part, own), part)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(own.uid))
+        spark.sparkContext.setJobGroup(library.uid, "")
+        theirs = scoring.fit(estimators.risk_pipeline(part, library), part)
+        a, b = (m.stages[-1] for m in (mine, theirs))
+        assert a.toDebugString.split("\n", 1)[1] == b.toDebugString.split("\n", 1)[1]
+        assert a.treeWeights == b.treeWeights and a.featureImportances == b.featureImportances
+        said = [sorted(scoring.predict_probability(m, part).collect()) for m in (mine, theirs)]
+        assert said[0] == said[1]
+        assert jobs < 3 * trees, "a job for every level of every tree"
+
+
+def test_what_one_task_does_not_cover_goes_to_the_library(spark, monkeypatch):
+    from riskloom.model import boosting
+
+    rows = spark.range(0, 300, 1, 3).select(
+        F.col("id").alias("rowkey"), (F.col("id") % 7).alias("a"), (F.col("id") * 7919 % 101 < 30).cast("int").alias("is_risk")
+    )
+    small = scoring.fit(estimators.risk_pipeline(rows, estimators.boosted_trees(trees=3)), rows)
+    monkeypatch.setattr(boosting, "CELLS", 100)
+    large = scoring.fit(estimators.risk_pipeline(rows, estimators.boosted_trees(trees=3)), rows)
+    assert len(small.stages[-1].trees) == len(large.stages[-1].trees) == 3
+    odd = rows.withColumn("is_risk", F.col("is_risk") * 2)
+    with pytest.raises(Exception, match="(?i)label"):
+        scoring.fit(estimators.risk_pipeline(odd, estimators.boosted_trees(trees=1)), odd)
